@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crosstally.llm import decontamination, licenses, mixing, quality, quality_rules, sharding, simhash, suffixes, toxicity
+from crosstally.llm import chat, decontamination, licenses, mixing, quality, quality_rules, sharding, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": mixing.op6_mixing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_simhash": simhash.op8_simhash,
+        "op9_chat": chat.op9_chat,
         "op10_suffix_dedup": suffixes.op10_suffix_dedup,
     }
 
