@@ -1,18 +1,12 @@
-"""Helpers shared by the operators: reading, staging in the shared folder, global row numbers, bounded broadcasts.
-
-Staged tables go to the folder named by ``spark.checkpoint.dir``. Only where that setting is absent (tests, a laptop)
-is a folder of this process used instead.
-"""
+"""Helpers shared by the operators: reading, global row numbers, bounded broadcasts, free column names."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosstally.sources.staging import stage
+
 #: The words of the contracts: what lies between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,36 +15,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
-        context.setCheckpointDir(found)
-    return found
-
-
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there, and a lost executor costs
-    at most the tasks it ran. The folder is removed when the driver's process ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended; its folder goes with it
-        return
+__all__ = ["WORD", "bounded_broadcast", "free_name", "number_rows", "partitions_for", "read", "stage"]
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

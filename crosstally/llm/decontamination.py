@@ -76,8 +76,9 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         side = bounded_broadcast(sketch.filter(F.col("width") == width).select(F.col("h").alias("_h"), "item"), MAX_ROWS)
         part = looked.join(side, F.col("h") == F.col("_h")).select("key", "item")
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = worded.join(wanted.select("item"), F.lit(False)).select("key", "item")
+    if found is None:  # no item has a word
+        kinds = [df.schema[c].dataType.simpleString() for df, c in ((docs, key), (items, item_key))]
+        return docs.sparkSession.createDataFrame([], f"key {kinds[0]}, item {kinds[1]}, shared long, item_shingles long, containment double")
     candidates = stage(found.distinct(), "candidates")
     names = bounded_broadcast(candidates.select(F.col("key").alias("_key")).distinct(), MAX_ROWS)
     near = worded.join(names, worded["key"].eqNullSafe(names["_key"]), "left_semi")
@@ -85,8 +86,6 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     for width in widths:
         part = near.select("key", F.explode(windows(F.col("w"), width, joined)).alias("shingle"), F.lit(width).alias("width"))
         held = part if held is None else held.unionByName(part)
-    if held is None:
-        held = near.select("key", F.lit("").alias("shingle"), F.lit(0).alias("width"))
     terms = bounded_broadcast(wanted.select("item", F.col("width").alias("_width"), F.col("shingle").alias("_shingle"), "n"), MAX_ROWS)
     hits = held.join(terms, (F.col("shingle") == F.col("_shingle")) & (F.col("width") == F.col("_width"))).select("key", "item", "n", "shingle").distinct()
     counted = hits.groupBy("key", "item", "n").agg(F.count(F.lit(1)).alias("shared"))

@@ -60,22 +60,23 @@ def mix(df: DataFrame, key: list[str], size: str, source: str = "source", max_ep
     """
     at = free_name(df, "_row")
     hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]))
-    sized = df
     order = [F.col(source).isNull(), F.col(source), F.col(size), hashed, *[F.col(c) for c in key]]
-    numbered, _ = number_rows(sized, order, at)
-    sources = numbered.groupBy(F.col(source).alias("_source")).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    shares = water_fill(sources, "_source", "source_size", "_rows", max_epochs).select("_source", F.col("source_size").alias("_size"), F.col("target").alias("_target"), "first_row")
-    names = {x: free_name(sized, x) for x in ("source_size", "target", "copies")}
-    ratio = F.when(F.col("_size") > 0, F.col("_target") / F.col("_size")).otherwise(F.lit(0.0))
+    numbered, _ = number_rows(df, order, at)
+    own, all_size, goal, before = (free_name(df, x) for x in ("_source", "_source_size", "_source_target", "_first_row"))
+    sources = numbered.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    filled = water_fill(sources, "source", "source_size", "rows", max_epochs)
+    shares = filled.select(F.col("source").alias(own), F.col("source_size").alias(all_size), F.col("target").alias(goal), F.col("first_row").alias(before))
+    names = {x: free_name(df, x) for x in ("source_size", "target", "copies")}
+    ratio = F.when(F.col(all_size) > 0, F.col(goal) / F.col(all_size)).otherwise(F.lit(0.0))
     whole = F.floor(ratio)
-    unit = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("source"), F.coalesce(F.col("_source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    rank = F.col(at) - F.col("first_row")
+    unit = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("source"), F.coalesce(F.col(own), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    rank = F.col(at) - F.col(before)
     extra = F.floor((rank + 1) * (ratio - whole) + unit) - F.floor(rank * (ratio - whole) + unit)
-    joined = numbered.join(bounded_broadcast(shares, MAX_SOURCES), F.col(source).eqNullSafe(F.col("_source")), "left")
+    joined = numbered.join(bounded_broadcast(shares, MAX_SOURCES), F.col(source).eqNullSafe(F.col(own)), "left")
     return joined.select(
-        *[F.col(c) for c in sized.columns],
-        F.col("_size").alias(names["source_size"]),
-        F.col("_target").alias(names["target"]),
+        *[F.col(c) for c in df.columns],
+        F.col(all_size).alias(names["source_size"]),
+        F.col(goal).alias(names["target"]),
         F.least(whole + extra, F.lit(max_epochs)).cast("int").alias(names["copies"]),
     )
 

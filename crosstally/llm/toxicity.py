@@ -124,9 +124,9 @@ def toxicity(weights: np.ndarray, bias: float, text: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label): documents that are labelled and not held out. Labels with a null are passed over; a document
+    """(text, label): documents that are labelled and not held out. Labels other than 0 and 1 are passed over; a document
     labelled twice is toxic if one label says so."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(MAX_TRAIN)
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "label")
 
