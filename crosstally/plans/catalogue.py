@@ -38,14 +38,14 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-ONE, LABEL = F.lit(1).cast("long"), F.col("label").cast("long")
-COUNTS = {"displays": ONE, "clicks": LABEL}
+def counts() -> dict[str, Column]:
+    return {"displays": F.lit(1).cast("long"), "clicks": F.col("label").cast("long")}
 
 
 def table_of(spark: SparkSession, sf_dir: str, fixture: Fixture, spec: str = "*&*", caps: int | dict[str, int] | None = None) -> tuple[DataFrame, QuerySet, DataFrame, dictionary.Dictionaries]:
     encoded, known = fixture.encoded(spark, sf_dir)
     q = fixture.queries(known, spec, caps)
-    return agg.aggregate(encoded, q, COUNTS), q, encoded, known
+    return agg.aggregate(encoded, q, counts()), q, encoded, known
 
 
 def cells(fixture: Fixture, names: list[str], measures: dict[str, str] | None = None, caps: dict[str, int] | int | None = None, where: str = "TRUE") -> str:
@@ -98,13 +98,13 @@ def agg_cf_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("agg_grouping_sets", cells(RETURNS, [*RETURN_NAMES, *RETURN_PAIRS]))
 def agg_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded, known = RETURNS.encoded(spark, sf_dir)
-    return agg.aggregate_sets(encoded, RETURNS.queries(known), COUNTS)
+    return agg.aggregate_sets(encoded, RETURNS.queries(known), counts())
 
 
 @register("agg_dense", cells(RETURNS, [*RETURN_NAMES, *RETURN_PAIRS], {"displays": "CAST(count(*) AS DOUBLE)", "clicks": "CAST(sum(label) AS DOUBLE)"}))
 def agg_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded, known = RETURNS.encoded(spark, sf_dir)
-    return agg.aggregate_dense(encoded, RETURNS.queries(known), COUNTS)
+    return agg.aggregate_dense(encoded, RETURNS.queries(known), counts())
 
 
 THREE = {"displays": "count(*)", "clicks": "CAST(sum(label) AS BIGINT)", "ids": "CAST(sum(e.l_quantity) AS BIGINT)"}
@@ -113,7 +113,7 @@ THREE = {"displays": "count(*)", "clicks": "CAST(sum(label) AS BIGINT)", "ids":
 @register("agg_multi_measure", cells(RETURNS, [*RETURN_NAMES, *RETURN_PAIRS], THREE))
 def agg_multi_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded, known = RETURNS.encoded(spark, sf_dir)
-    return agg.aggregate(encoded, RETURNS.queries(known), COUNTS | {"ids": F.col("l_quantity").cast("long")})
+    return agg.aggregate(encoded, RETURNS.queries(known), counts() | {"ids": F.col("l_quantity").cast("long")})
 
 
 @register("agg_merge_batches", cells(RETURNS, [*RETURN_NAMES, *RETURN_PAIRS]))
@@ -121,7 +121,7 @@ def agg_merge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves by key, aggregated apart and added up."""
     encoded, known = RETURNS.encoded(spark, sf_dir)
     half = clean.key_fraction(F.col("row_key")) < 0.5
-    return agg.merge(*[agg.aggregate(encoded.filter(p), RETURNS.queries(known), COUNTS) for p in (half, ~half)])
+    return agg.merge(*[agg.aggregate(encoded.filter(p), RETURNS.queries(known), counts()) for p in (half, ~half)])
 
 
 HASH_CAPS = {"l_partkey": 500, "l_suppkey": 64, "default": 4000}
@@ -310,7 +310,7 @@ def temporal_split_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_discount", "l_shipdate", (F.col("l_returnflag") == "R").cast("int").alias("label"))
     known = dictionary.fit(rows, ["l_discount"])
     before, _ = clean.split_by_time(rows, "l_shipdate", "1997-01-01")
-    return agg.aggregate(known.encode(before), QuerySet.build(known.sizes, "*"), COUNTS)
+    return agg.aggregate(known.encode(before), QuerySet.build(known.sizes, "*"), counts())
 
 
 @register("distinct_modalities", f"WITH {RETURNS.sql()} SELECT {', '.join(f'count(DISTINCT {n}) AS {n}' for n in RETURN_NAMES)} FROM base")
@@ -684,7 +684,7 @@ def mrf_baseline_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed, encoded = _fixed_model(spark, sf_dir)
     q = fixed.queries
     scored = mrf.predict(encoded, fixed)
-    table = agg.aggregate(scored, q, COUNTS | {"p0": F.col("prediction")})
+    table = agg.aggregate(scored, q, counts() | {"p0": F.col("prediction")})
     model = mrf.start(spark, table, q, mrf.Params(n_samples=2_000))
     model, field = baseline_mrf.fit_with_baseline(model, table, fixed.theta, fixed.bias, 2)
     return _parameters(spark, mu=model.mu, theta=model.theta, nu=field.nu)
@@ -747,6 +747,6 @@ def stream_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/lineitem.parq[u]et")
     rows = stream.select(*[F.expr(e).alias(n) for n, e in SMALL.features], F.expr(SMALL.label).cast("int").alias("label"))
     name = f"cells_{uuid.uuid4().hex}"
-    run_to_memory(streamed(rows, known, SMALL.queries(known), COUNTS), name, f"{shared_dir(spark)}/{name}")
+    run_to_memory(streamed(rows, known, SMALL.queries(known), counts()), name, f"{shared_dir(spark)}/{name}")
     return spark.table(name)
 
