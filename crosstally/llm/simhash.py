@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstally.llm.components import components
-from crosstally.llm.common import free_name, partitions_for, read, stage
+from crosstally.llm.common import bounded_broadcast, free_name, partitions_for, read, stage
 
 SEED = 42
 SHINGLE = 4
 THRESHOLD = 4
 #: Homes and replicas that one task compares at once; an anchor with more is dealt over several tasks.
 CHUNK = 4096
+#: Keys of dropped documents that are broadcast; more of them are joined by a shuffle.
+MAX_GONE = 4_000_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -241,7 +243,8 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     groups = group_by_fingerprint(prints)
     keyed = prints.join(groups, "fp").filter(F.col("key").isNotNull())
     fate = stage(keyed.groupBy("key").agg(F.max((F.col("key") == F.col("component_id")).cast("int")).alias("kept"), F.count(F.lit(1)).alias("n")), "fates")
-    gone = fate.filter("kept = 0 OR n > 1").select(F.col("key").alias(name := free_name(docs, "_gone")))
+    # Keys that go are 8 bytes each; counted, and broadcast up to MAX_GONE, so that the texts needn't be exchanged.
+    gone = bounded_broadcast(fate.filter("kept = 0 OR n > 1").select(F.col("key").alias(name := free_name(docs, "_gone"))), MAX_GONE)
     stays = docs.join(gone, docs[key] == gone[name], "left_anti")
-    repeated = fate.filter("kept = 1 AND n > 1").select(F.col("key").alias(name))
+    repeated = bounded_broadcast(fate.filter("kept = 1 AND n > 1").select(F.col("key").alias(name)), MAX_GONE)
     return stays.unionByName(docs.join(repeated, docs[key] == repeated[name], "left_semi").dropDuplicates([key]))
