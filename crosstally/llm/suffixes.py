@@ -301,7 +301,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     spans removed, as byte offsets."""
     spark = docs.sparkSession
     parts = partitions_for(spark)
-    docs = docs.select("uid", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # The filter drops nothing; stated here, it is part of both uses of the exchange below, which is then done once.
+    docs = docs.select("uid", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("uid IS NOT NULL")
     sample = docs.orderBy(F.xxhash64(F.lit(10), "uid"), "uid").limit(SAMPLE).mapInArrow(_find(None), "token long, context long").toPandas()
     split = Buckets(sample["token"].to_numpy(np.int64).view(np.uint64), sample["context"].to_numpy(np.int64).view(np.uint64), parts)
     found = docs.mapInArrow(_find(split), "bucket int, token long, context long, uid long, first long, n long")
