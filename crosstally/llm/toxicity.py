@@ -1,7 +1,7 @@
 """Operator 1, toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-The features of a text are the hashed character n-grams of its words (lower case, with word ends), each present or
-not. A feature's value is its log-count ratio r between toxic and other training texts; features whose counts differ
+The features of a text are its hashed character n-grams (lower case, runs of white space as one space), each present
+or not. A feature's value is its log-count ratio r between toxic and other training texts; features whose counts differ
 by chance only are left out; a logistic regression on the rest learns how far to trust each ratio.
 """
 
@@ -11,65 +11,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstally.llm.common import read
+from crosstally.llm.common import read, stage
 
 GRAMS = (3, 4, 5)
 BITS = 18
 SIZE = 1 << BITS
+STEP, FINISH = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 ALPHA = 0.5
 #: Ratios are counted, and the regression is fitted, on at most this many labelled rows, those with the least hash.
 MAX_TRAIN = 20_000
 #: A feature is used if its two rates differ by this many standard errors; at most MAX_FEATURES of them.
-MIN_Z = 4.0
-MAX_FEATURES = 20_000
+MIN_Z = 5.0
+MAX_FEATURES = 4_000
 L2 = 1e-3
-STEPS = 400
+STEPS = 250
 
 
-class Grams(dict):
-    """word -> its hashed n-grams; forgets all when it holds a million words."""
-
-    def __missing__(self, word: bytes) -> np.ndarray:
-        if len(self) > 1_000_000:
-            self.clear()
-        s = "<" + word.decode("utf-8", "replace") + ">"
-        found = np.array([xxhash.xxh32_intdigest(s[i : i + n]) & (SIZE - 1) for n in GRAMS for i in range(max(1, len(s) - n + 1))], np.int32)
-        self[word] = found
-        return found
-
-
-def features(text: str | None, grams: Grams, slot: np.ndarray) -> np.ndarray:
+def features(text: str | None, slot: np.ndarray) -> np.ndarray:
     """The distinct features of a whole text. ``slot`` is scratch space of SIZE longs."""
-    words = set((text or "").lower().encode("utf-8", "surrogatepass").split())
+    words = (text or "").lower().split()
     if not words:
-        return np.zeros(0, np.int32)
-    every = np.concatenate([grams[w] for w in words])
+        return np.zeros(0, np.int64)
+    x = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    found, gram = [], x
+    for n in range(2, max(GRAMS) + 1):
+        gram = gram[:-1] * STEP + x[n - 1 :] if len(gram) > 1 else gram[:0]
+        if n in GRAMS:
+            found.append(((gram + np.uint64(n)) * FINISH) >> np.uint64(64 - BITS))
+    every = np.concatenate(found).astype(np.int64)
     order = np.arange(len(every))
     slot[every] = order
     return every[slot[every] == order]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams, slot, sums = Grams(), np.zeros(SIZE, np.int64), np.zeros((2, SIZE), np.int64)
+    slot, sums = np.zeros(SIZE, np.int64), np.zeros((2, SIZE), np.int64)
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums[label][features(text, grams, slot)] += 1
+            sums[label][features(text, slot)] += 1
     some = np.flatnonzero(sums.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[0][some]), pa.array(sums[1][some])], names=["f", "clean", "toxic"])
 
 
 def logistic(rows: list[np.ndarray], labels: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2 logistic regression on sparse rows of feature numbers with the given values."""
-    idx = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    who = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    idx = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    who = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
     w, rate = np.ones(len(values)) * 0.1, max(labels.mean(), 1e-6) if len(labels) else 1e-6
     b = float(np.log(rate / max(1 - rate, 1e-6)))
     m, v, t = np.zeros(len(values) + 1), np.zeros(len(values) + 1), 0
-    x = values[idx]
+    x = values[idx].astype(np.float32)
     for t in range(1, STEPS + 1):
         z = b + np.bincount(who, weights=x * w[idx], minlength=len(rows))
         err = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels
@@ -99,13 +93,14 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
     number[used] = np.arange(len(used))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, slot = Grams(), np.zeros(SIZE, np.int64)
+        slot = np.zeros(SIZE, np.int64)
         for batch in batches:
-            found = [number[features(x, grams, slot)] for x in batch.column(0).to_pylist()]
+            found = [number[features(x, slot)] for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[x >= 0].tolist() for x in found], pa.list_(pa.int32())), batch.column(1)], names=["fs", "label"])
 
-    table = train.mapInArrow(rows, "fs array<int>, label int").orderBy("label", F.xxhash64("fs")).toPandas()  # MAX_TRAIN rows at most
-    w, b = logistic([np.asarray(x, np.int64) for x in table["fs"]], table["label"].to_numpy(np.float64), ratio[used])
+    table = train.mapInArrow(rows, "fs array<int>, label int").toArrow()  # MAX_TRAIN rows at most
+    order = sorted(zip(table["label"].to_pylist(), (x.values.to_numpy(zero_copy_only=False).astype(np.int32) for x in table["fs"]), strict=True), key=lambda r: (r[0], r[1].tobytes()))
+    w, b = logistic([x for _, x in order], np.array([y for y, _ in order], np.float64), ratio[used])
     weights[used] = ratio[used] * w
     return weights, b
 
@@ -115,9 +110,9 @@ def toxicity(weights: np.ndarray, bias: float, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        grams, slot = Grams(), np.zeros(SIZE, np.int64)
+        slot = np.zeros(SIZE, np.int64)
         for part in texts:
-            z = np.array([bias + float(weights[features(x, grams, slot)].sum()) for x in part.to_pylist()])
+            z = np.array([bias + float(weights[features(x, slot)].sum()) for x in part.to_pylist()])
             yield pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))), pa.float64())
 
     return score(text.cast("string"))
@@ -138,6 +133,6 @@ def held_out(doc_id: Column) -> Column:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document. A null doc_id is not held out (and has no label to learn from)."""
     docs = read(spark, sf_dir, "documents")
-    weights, bias = fit(training_rows(docs, read(spark, sf_dir, "labels")))
+    weights, bias = fit(stage(training_rows(docs, read(spark, sf_dir, "labels")), "training"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity(weights, bias, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
