@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import sqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +17,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["WORD", "bounded_broadcast", "free_name", "number_rows", "partitions_for", "read", "stage"]
+__all__ = ["WORD", "bounded_broadcast", "free_name", "least_hashed", "number_rows", "partitions_for", "read", "stage"]
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint where a count proves that ``df`` has at most ``max_rows`` rows; else ``df`` as it is, for a
     shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df  # a limit would first gather max_rows rows of every task
+
+
+def least_hashed(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """The ``most`` rows of ``df`` with the least hashes of (seed, key), all rows if there are no more. Keys differ.
+
+    A top-k alone would send up to ``most`` rows of every task to one task. The rows are counted first, and only those
+    under a bound of the hash, which ``most`` rows and six standard errors are expected to meet, are ordered.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    by = F.xxhash64(F.lit(seed), key)
+    share = min(1.0, (most + 6 * sqrt(most) + 6) / n)
+    return df.filter(by <= F.lit(min(int((share - 0.5) * 2**64), (1 << 63) - 1))).orderBy(by, key).limit(most)
 
 
 def partitions_for(spark: SparkSession) -> int:

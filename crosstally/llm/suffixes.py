@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstally.llm.common import bounded_broadcast, number_rows, partitions_for, read, stage
+from crosstally.llm.common import bounded_broadcast, least_hashed, number_rows, partitions_for, read, stage
 
 SPAN = 100
 GRAM = 24
 #: Contexts of one token that one task compares.
 CROWD = 2000
-#: Documents in the sample for the splitters: those with the least hash.
+#: Documents in the sample for the splitters, or one a bucket where there are more buckets: those with the least hash.
 SAMPLE = 2000
 MAX_ROWS = 1_000_000
 BLOCK = 1 << 19
@@ -303,7 +303,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     parts = partitions_for(spark)
     # The filter drops nothing; stated here, it is part of both uses of the exchange below, which is then done once.
     docs = docs.select("uid", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("uid IS NOT NULL")
-    sample = docs.orderBy(F.xxhash64(F.lit(10), "uid"), "uid").limit(SAMPLE).mapInArrow(_find(None), "token long, context long").toPandas()
+    ids = least_hashed(docs.select(F.col("uid").alias("_uid")), "_uid", max(SAMPLE, parts), 10)
+    sample = docs.join(F.broadcast(ids), F.col("uid") == F.col("_uid")).select("uid", "text").mapInArrow(_find(None), "token long, context long").toPandas()
     split = Buckets(sample["token"].to_numpy(np.int64).view(np.uint64), sample["context"].to_numpy(np.int64).view(np.uint64), parts)
     found = docs.mapInArrow(_find(split), "bucket int, token long, context long, uid long, first long, n long")
     dealt = found.repartitionById(parts, F.col("bucket")).sortWithinPartitions("token", "context", "uid", "first")

@@ -11,8 +11,10 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from crosstally.llm import chat, components, decontamination, licenses, mixing, quality, quality_rules, sharding, simhash, suffixes, toxicity
+from crosstally.llm.common import least_hashed
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, key int, _source string, row_number long, kept boolean, w string, fp string, h long"
 WORDS = "of the and river stone window letter garden market paper signal copper orange winter summer silver candle bridge harbour meadow".split()
@@ -387,3 +389,11 @@ def test_null_and_repeated_keys(spark, docs_rows, tmp_path):
             continue
         assert query(spark, str(tmp_path)).count() == len(rows), name
     assert decontamination.op4_decontamination(spark, str(tmp_path)).count() == 0
+
+
+def test_least_hashed_is_the_exact_top(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    for most in (1, 100, 5_000, 19_999, 20_000, 30_000):
+        want = {r[0] for r in df.orderBy(F.xxhash64(F.lit(3), "k"), "k").limit(most).collect()}
+        assert {r[0] for r in least_hashed(df, "k", most, 3).collect()} == want
+    assert least_hashed(df.filter("k < 0"), "k", 5, 3).count() == 0
