@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstally.llm.common import free_name, number_rows, read, stage
+from crosstally.llm.common import free_name, least_hashed, number_rows, read, stage
 
 GRAM = 4
 BITS = 16
@@ -63,7 +63,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rated = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q"))
     good, n = rated.agg(F.sum((F.col("q") == 1).cast("long")), F.count(F.lit(1))).first()
     good = good or 0
-    chosen = rated.filter("q = 1").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(MAX_LABELS).select(F.col("doc_id").alias("_id"), F.lit(True).alias("_target"))
+    chosen = least_hashed(rated.filter("q = 1"), "doc_id", MAX_LABELS, SEED).select(F.col("doc_id").alias("_id"), F.lit(True).alias("_target"))
     marked = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen), F.col("_key") == F.col("_id"), "left")
     counted = marked.select("_text", F.coalesce("_target", F.lit(False)).alias("_target")).mapInArrow(_count, "bucket int, raw long, target long")
     sums = np.zeros((2, 1 << BITS))
