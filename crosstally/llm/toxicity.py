@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstally.llm.common import read, stage
+from crosstally.llm.common import least_hashed, read, stage
 
 GRAMS = (3, 4, 5)
 BITS = 18
@@ -122,7 +122,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, label): documents that are labelled and not held out. Labels other than 0 and 1 are passed over; a document
     labelled twice is toxic if one label says so."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(MAX_TRAIN)
+    known = least_hashed(known.filter(~held_out(F.col("doc_id"))), "doc_id", MAX_TRAIN, 1)
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "label")
 
 
