@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosstally.llm import similar
 from crosstally.llm.components import components
 from crosstally.llm.common import bounded_broadcast, free_name, partitions_for, read, stage
 
@@ -27,7 +28,7 @@ SHINGLE = 4
 THRESHOLD = 4
 #: Homes and replicas that one task compares at once; an anchor with more is dealt over several tasks.
 CHUNK = 4096
-#: Keys of dropped documents that are broadcast; more of them are joined by a shuffle.
+#: Hashes of dropped rows that are broadcast; more of them are joined by a shuffle.
 MAX_GONE = 4_000_000
 
 
@@ -236,15 +237,41 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(groups, "fp").select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def sketches(df: DataFrame, key: str, row: str, text: str) -> DataFrame:
+    """One row (key, row, t, fp, buckets) per row of ``df``: a hash of the text, its fingerprint, its MinHash buckets."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or b"" for x in batch.column(3).cast(pa.binary()).to_pylist()]
+            found = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+            placed = [similar.buckets(similar.shingles(x)) for x in texts]
+            ends = np.cumsum([0, *map(len, placed)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *placed])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.view(np.int64)), lists], names=["key", "row", "t", "fp", "buckets"])
+
+    kind = df.schema[key].dataType.simpleString()
+    whole = F.col(text).cast("string")
+    return df.select(F.col(key).alias("key"), F.col(row).alias("row"), F.xxhash64(whole).alias("t"), whole.alias("text")).mapInArrow(work, f"key {kind}, row long, t long, fp long, buckets array<bigint>")
+
+
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest key. Rows with a null key stay. Of
-    rows that share the kept key one stays. Columns are those of ``docs``."""
-    prints = stage(fingerprints(docs, key, text), "fingerprints")
-    groups = group_by_fingerprint(prints)
-    keyed = prints.join(groups, "fp").filter(F.col("key").isNotNull())
-    fate = stage(keyed.groupBy("key").agg(F.max((F.col("key") == F.col("component_id")).cast("int")).alias("kept"), F.count(F.lit(1)).alias("n")), "fates")
-    # Keys that go are 8 bytes each; counted, and broadcast up to MAX_GONE, so that the texts needn't be exchanged.
-    gone = bounded_broadcast(fate.filter("kept = 0 OR n > 1").select(F.col("key").alias(name := free_name(docs, "_gone"))), MAX_GONE)
-    stays = docs.join(gone, docs[key] == gone[name], "left_anti")
-    repeated = bounded_broadcast(fate.filter("kept = 1 AND n > 1").select(F.col("key").alias(name)), MAX_GONE)
-    return stays.unionByName(docs.join(repeated, docs[key] == repeated[name], "left_semi").dropDuplicates([key]))
+    """One row of each near-duplicate group stays, the one with the smallest key, nulls last. Texts are linked by
+    fingerprints at most THRESHOLD bits apart or by a similarity of 0.8 or more (see ``similar``). Each row is judged by
+    its own text: rows that share a key, or have none, are different documents unless their texts are near copies.
+    Columns are those of ``docs``."""
+    row = free_name(docs, "_row")
+    named = docs.withColumn(row, F.xxhash64(F.col(key), F.col(text).cast("string")))  # alike for equal key and text only
+    prints = stage(sketches(named, key, row, text), "sketches")
+    close = bounded_broadcast(components(near_links(stage(prints.select("fp").distinct(), "distinct"))), MAX_GONE)
+    rooted = stage(prints.join(close, F.col("fp") == F.col("node"), "left").select("key", "row", "t", F.coalesce("root", "fp").alias("node"), "buckets"), "rooted")
+    texts = docs.select(F.xxhash64(F.col(text).cast("string")).alias("t"), F.col(text).cast("string").alias("text"))
+    joined = bounded_broadcast(components(similar.similar_links(texts, rooted.select("t", "node", "buckets"))).withColumnRenamed("node", "_node"), MAX_GONE)
+    grouped = rooted.join(joined, F.col("node") == F.col("_node"), "left").select("key", "row", F.coalesce("root", "node").alias("root"))
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("best")).select(F.col("best.row").alias("_best"))
+    counts = rooted.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    fate = stage(counts.join(best, F.col("row") == F.col("_best"), "left").select(F.col("row").alias(row), F.col("_best").isNotNull().alias("kept"), "n"), "fates")
+    # Rows that go are 8 bytes each; counted, and broadcast up to MAX_GONE, so that the texts needn't be exchanged.
+    gone = bounded_broadcast(fate.filter("NOT kept OR n > 1").select(row), MAX_GONE)
+    stays = named.join(gone, row, "left_anti")
+    repeated = bounded_broadcast(fate.filter("kept AND n > 1").select(row), MAX_GONE)
+    return stays.unionByName(named.join(repeated, row, "left_semi").dropDuplicates([row])).drop(row)

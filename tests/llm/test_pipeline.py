@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 
 import corpus_pipeline as pipeline
-from crosstally.llm import quality
+from crosstally.llm import quality, similar, simhash
 from tests.llm.test_ops import DOCS, brute_fingerprint, water, words
 
 
@@ -93,3 +94,31 @@ def test_every_stage_on_odd_tables(spark, tmp_path, kind):
         out = step(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
         assert out.columns[:13] == got.columns[:13]
         assert out.count() <= 3 * len(rows)
+
+
+def brute_similar(texts):
+    """Pairs of texts that share 80 % of their 5-word shingles."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t.lower())) else set() for t in texts]
+    return [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+
+
+@pytest.mark.parametrize("chunk", [1024, 5])  # 5: crowded buckets are dealt over parts
+def test_near_dedup_drops_similarity_of_80_percent(spark, chunk, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    rng, texts = random.Random(4), []
+    for k in range(12):
+        base = [f"w{k}x{rng.randrange(10**6)}" for _ in range(150)]
+        for n in (0, 1, 2, 2, 3, 3, 4, 6, 9):
+            w = list(base)
+            for at in rng.sample(range(150), n):
+                w[at] = f"new{rng.randrange(10**9)}"
+            texts.append(" ".join(w))
+    prints, pairs = [brute_fingerprint(t) for t in texts], brute_similar(texts)
+    far = [p for p in pairs if (prints[p[0]] ^ prints[p[1]]).bit_count() > 4]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a, b in pairs + near:
+            label[a] = label[b] = min(label[a], label[b])
+    got = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(ids(got.collect())) == sorted(set(label)) and len(far) > 50
