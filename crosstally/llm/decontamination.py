@@ -102,10 +102,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that hold no item; columns are those of ``docs``."""
-    gone = stage(search(docs, items, key, text).select(F.col("key").alias(free_name(docs, "_gone"))).distinct(), "contaminated")
-    side = bounded_broadcast(gone, MAX_ROWS)
-    return docs.join(side, docs[key].eqNullSafe(side[gone.columns[0]]), "left_anti")
+    """The documents that hold no item; columns are those of ``docs``. Each row is judged by its own text, whatever rows
+    share its key: the search is keyed by a hash of the text."""
+    own = free_name(docs, "_text")
+    named = docs.withColumn(own, F.xxhash64(F.col(text).cast("string")))
+    gone = stage(search(named, items, own, text).select(F.col("key").alias(own)).distinct(), "contaminated")
+    return named.join(bounded_broadcast(gone, MAX_ROWS), own, "left_anti").drop(own)
 
 
 #: DuckDB's form of the search, for any relation with doc_id and text: exact, without sketches.

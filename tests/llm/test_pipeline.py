@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline as pipeline
-from crosstally.llm import quality, similar, simhash
+from crosstally.llm import decontamination, quality, similar, simhash
 from tests.llm.test_ops import DOCS, brute_fingerprint, water, words
 
 
@@ -96,6 +96,20 @@ def test_every_stage_on_odd_tables(spark, tmp_path, kind):
         assert out.count() <= 3 * len(rows)
 
 
+def test_rows_that_share_a_key_are_judged_by_their_own_texts(spark):
+    say = lambda stem, n: " ".join(f"{stem}{k}" for k in range(n))
+    item = say("item", 24)  # 20 shingles
+    parts = [" ".join(item.split()[:14]), " ".join(item.split()[10:])]  # 10 of them each: together over 80 %
+    for k in (None, 7):
+        docs = spark.createDataFrame([(k, f"x {item} y"), (k, say("a", 30)), *[(k, f"{say('p', 9)} {p}") for p in parts]], "doc_id long, text string")
+        kept = decontamination.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+        assert sorted(r["text"] for r in kept) == sorted([say("a", 30), *[f"{say('p', 9)} {p}" for p in parts]])
+        rows = [(k, say("a", 30)), (k, say("b", 30)), (k, say("b", 30)), (9, say("b", 30)), (k, say("c", 30)), (3, say("c", 30))]
+        left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        want = [(k, say("a", 30)), (7 if k else 9, say("b", 30)), (3, say("c", 30))]
+        assert sorted((r["text"], r["doc_id"] or 0) for r in left) == sorted((t, i or 0) for i, t in want)
+
+
 def brute_similar(texts):
     """Pairs of texts that share 80 % of their 5-word shingles."""
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t.lower())) else set() for t in texts]
