@@ -75,6 +75,72 @@ RULES = (
 )
 BREAK = r"[.!?]+\s+|\n\s*\n"
 
+# What follows is known to the operator alone: OP3_SQL keeps to the tables above and finds less in whole licence texts.
+BSD_PERMIT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+BSD_BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_NEITHER = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+BSD_ADVERT = "all advertising materials mentioning features or use of this software must display the following acknowledgement"
+MIT_PERMIT, MIT_NOTICE = TEXTS["mitGrant"].split(" the above ")
+MORE_TEXTS = {
+    MIT_PERMIT: "mitPermit",
+    f"the above {MIT_NOTICE}": "mitNotice",
+    "the asf licenses this file to you under the apache license version 2 0 the license": "apacheAsf",
+    BSD_PERMIT: "bsdPermit",
+    f"{BSD_PERMIT} 1": "bsdPermit",
+    BSD_SOURCE: "bsdSource",
+    f"{BSD_PERMIT} {BSD_SOURCE}": "bsdPermitSource",  # a list with bullets, without a blank line before it
+    BSD_BINARY: "bsdBinary",
+    BSD_NEITHER: "bsdNeither",
+    BSD_ADVERT: "bsdAdvert",
+}
+#: Sentences with a free part, normalised, and what they count as.
+FREE_PARTS = (
+    (r"^neither the names? of .{1,120} nor the names of (?:its|their|any) contributors may ", "neither the name of the copyright holder nor the names of its contributors may "),
+    (r"^all advertising materials mentioning features or use of this software must display the following acknowledge?ment .*$", BSD_ADVERT),
+)
+GNU = {
+    "GPL-2.0": ("gpl2", "gnu general public license", "2"),
+    "GPL-3.0": ("gpl3", "gnu general public license", "3"),
+    "LGPL-2.0": ("lgpl2", "gnu library general public license", "2"),
+    "LGPL-2.1": ("lgpl21", "gnu lesser general public license", "2 1"),
+    "LGPL-3.0": ("lgpl3", "gnu lesser general public license", "3"),
+    "AGPL-3.0": ("agpl3", "gnu affero general public license", "3"),
+}
+_BSD = (("bsdPermit", "bsdSource", "bsdBinary"), ("bsdPermitSource", "bsdBinary"))
+#: Tried after the rules of whole texts above and before those of references.
+MORE_RULES = (
+    ("MIT", ("mitPermit", "mitNotice", "mitWarranty", "mitLiability")),
+    ("MIT", ("mitPermit", "mitNotice")),
+    ("Apache-2.0", ("apacheAsf", "apacheYouMay", "apacheAsIs", "apacheSee")),
+    ("Apache-2.0", ("apacheAsf", "apacheYouMay")),
+    *(("BSD-4-Clause", (*first, "bsdAdvert", "bsdNeither")) for first in _BSD),
+    *(("BSD-3-Clause", (*first, "bsdNeither")) for first in _BSD),
+    *(("BSD-2-Clause", first) for first in _BSD),
+    *((f"{name}-{kind}", (f"{stem}{tag}",)) for name, (stem, _, _) in GNU.items() for kind, tag in (("or-later", "OrLater"), ("only", "Only"))),
+)
+
+
+def all_rules() -> tuple:
+    at = next(k for k, (_, seq) in enumerate(RULES) if seq[0].startswith("ref"))
+    return (*RULES[:at], *MORE_RULES, *RULES[at:])
+
+
+def all_sentences() -> dict[str, str]:
+    """The sentences of OP3_SQL and those that only the operator knows."""
+    found = sentences()
+    for text, name in MORE_TEXTS.items():
+        found.setdefault(text, name)
+    for name, (stem, full, version) in GNU.items():
+        for kind in ("program", "library", "software", "file"):
+            start = f"this {kind} is free software you can redistribute it and or modify it under the terms of the {full} as published by the free software foundation"
+            found.setdefault(f"{start} either version {version} of the license or at your option any later version", f"{stem}OrLater")
+            found.setdefault(f"{start} version {version} of the license", f"{stem}Only")
+            found.setdefault(f"{start} version {version}", f"{stem}Only")
+        for kind, tag in (("or later", "OrLater"), ("only", "Only")):
+            found.setdefault(f"spdx license identifier {normal_text(name)} {kind}", f"{stem}{tag}")
+    return found
+
 
 def sentences() -> dict[str, str]:
     """normalised sentence -> identifier: the texts above, every lead with every name, and the SPDX tags."""
@@ -99,17 +165,26 @@ def normal(sentence: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences of a whole text, in order. A sentence that runs over several lines is
-    tried as a whole first, then line by line."""
-    known = sentences()
+    tried as a whole first, then line by line, or by what its semicolons part, if that finds more."""
+    known = all_sentences()
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     hit = lambda s: s.isin(list(known))
 
+    def whole(sentence: Column) -> Column:
+        found = normal(sentence)
+        for free, fixed in FREE_PARTS:
+            found = F.regexp_replace(found, free, fixed)
+        return found
+
     def of(sentence: Column) -> Column:
-        lines = F.filter(F.transform(F.split(sentence, "\n"), normal), hit)
-        return F.when(hit(normal(sentence)), F.array(normal(sentence))).otherwise(lines)
+        lines = lambda s: F.filter(F.transform(F.split(s, "\n"), normal), hit)
+        part = lambda s: F.when(hit(whole(s)), F.array(whole(s))).otherwise(lines(s))
+        parts = F.flatten(F.transform(F.split(sentence, r";\s+"), part))
+        split = F.when(F.contains(sentence, F.lit(";")) & (F.size(parts) > F.size(lines(sentence))), parts).otherwise(lines(sentence))
+        return F.when(hit(whole(sentence)), F.array(whole(sentence))).otherwise(split)
 
     # Only sentences that can be known are looked at: all hold one of a few words.
-    telling = r"licen|spdx|copyright|permission|software|under|mozilla|mpl|gnu|rights"
+    telling = r"licen|spdx|copyright|permission|software|under|mozilla|mpl|gnu|rights|redistribut"
     parts = F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), BREAK), lambda s: s.rlike(telling))
     return F.transform(F.flatten(F.transform(parts, of)), lambda s: F.element_at(table, s))
 
@@ -117,7 +192,7 @@ def identifiers(text: Column) -> Column:
 def match(ids: Column) -> Column:
     """The licences of a sequence of identifiers, comma separated, in the order of the rules."""
     state = F.struct(F.concat(F.lit("|"), F.array_join(ids, "|"), F.lit("|")).alias("left"), F.lit("").alias("got"))
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("|" + "|".join(seq) + "|").alias("seq")) for name, seq in RULES])
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("|" + "|".join(seq) + "|").alias("seq")) for name, seq in all_rules()])
 
     def step(acc: Column, rule: Column) -> Column:
         taken = F.replace(acc["left"], rule["seq"], F.lit("|"))

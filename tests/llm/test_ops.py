@@ -249,6 +249,77 @@ def test_licenses(spark, tables, docs_rows):
     assert {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in one} == {1: ("apacheUnder,apacheYouMay,refApache-2.0,allRights", "Apache-2.0,Proprietary"), 2: ("", "")}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ASF = """# Licensed to the Apache Software Foundation (ASF) under one or more
+# contributor license agreements.  See the NOTICE file distributed with
+# this work for additional information regarding copyright ownership.
+# The ASF licenses this file to You under the Apache License, Version 2.0
+# (the "License"); you may not use this file except in compliance with
+# the License.  You may obtain a copy of the License at
+"""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+{gap}1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{gap}2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NEITHER = """
+3. Neither the name of {who} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ADVERT = """
+3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by Some Body.
+"""
+GNU_HEADER = """This {kind} is free software{colon} you can redistribute it and/or
+modify it under the terms of the GNU {name} General Public
+License as published by the Free Software Foundation{end}either
+version {version} of the License, or (at your option) any later version.
+"""
+
+
+def test_licenses_of_unaltered_texts(spark):
+    texts = [(MIT, "MIT"), (ASF, "Apache-2.0"), (APACHE, "Apache-2.0")]
+    for gap in ("", "\n"):
+        two = BSD.format(gap=gap)
+        texts += [(two, "BSD-2-Clause"), (two + ADVERT + NEITHER.format(who="Some Body"), "BSD-4-Clause")]
+        texts += [(two + NEITHER.format(who=who), "BSD-3-Clause") for who in ("the copyright holder", "the Some University")]
+    texts += [(GNU_HEADER.format(kind="library", colon=";", name="Lesser", end="; ", version="2.1"), "LGPL-2.1-or-later")]
+    texts += [(GNU_HEADER.format(kind="program", colon=":", name=n, end=", ", version="3"), f"{i}-3.0-or-later") for n, i in (("Lesser", "LGPL"), ("Affero", "AGPL"))]
+    texts += [(f"// SPDX-License-Identifier: {i}\nint x;", i) for i in ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "LGPL-2.1-or-later", "AGPL-3.0-only")]
+    got = rows_of(licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string"), "doc_id"))
+    assert [got[k]["licenses"] for k in range(len(texts))] == [want for _, want in texts]
+
+
 def test_toxicity(spark, tables, docs_rows):
     got = rows_of(toxicity.op1_toxicity(spark, tables))
     assert len(got) == len(docs_rows)
