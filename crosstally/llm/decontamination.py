@@ -62,52 +62,51 @@ def sketches(shingles: DataFrame) -> DataFrame:
 
 
 def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item, shared, item_shingles, containment) of every document and item at or above the threshold.
+    """(key, t, item, shared, item_shingles, containment) of every document and item at or above the threshold.
 
-    All rows that share a key are one document, null keys too. Repeated rows change nothing.
+    Each row is judged by its own text, whatever rows share its key: t is a hash of the text. Rows that repeat key and
+    text are found once. Null keys are keys like any other; null and empty texts hold nothing.
     """
     wanted = stage(item_shingles(items, item_key, item_text), "item_shingles")
     widths = sorted(r[0] for r in wanted.select("width").distinct().collect())  # at most WIDTH
-    sketch = stage(sketches(wanted), "sketches")
-    worded = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("w"))
-    found = None
-    for width in widths:
-        looked = worded.select("key", F.explode(windows(F.col("w"), width, hashed)).alias("h"))
-        side = bounded_broadcast(sketch.filter(F.col("width") == width).select(F.col("h").alias("_h"), "item"), MAX_ROWS)
-        part = looked.join(side, F.col("h") == F.col("_h")).select("key", "item")
-        found = part if found is None else found.unionByName(part)
-    if found is None:  # no item has a word
-        kinds = [df.schema[c].dataType.simpleString() for df, c in ((docs, key), (items, item_key))]
-        return docs.sparkSession.createDataFrame([], f"key {kinds[0]}, item {kinds[1]}, shared long, item_shingles long, containment double")
-    candidates = stage(found.distinct(), "candidates")
-    names = bounded_broadcast(candidates.select(F.col("key").alias("_key")).distinct(), MAX_ROWS)
-    near = worded.join(names, worded["key"].eqNullSafe(names["_key"]), "left_semi")
-    held = None
-    for width in widths:
-        part = near.select("key", F.explode(windows(F.col("w"), width, joined)).alias("shingle"), F.lit(width).alias("width"))
-        held = part if held is None else held.unionByName(part)
-    terms = bounded_broadcast(wanted.select("item", F.col("width").alias("_width"), F.col("shingle").alias("_shingle"), "n"), MAX_ROWS)
-    hits = held.join(terms, (F.col("shingle") == F.col("_shingle")) & (F.col("width") == F.col("_width"))).select("key", "item", "n", "shingle").distinct()
-    counted = hits.groupBy("key", "item", "n").agg(F.count(F.lit(1)).alias("shared"))
-    exact = counted.filter(F.col("shared") * 100 >= F.col("n") * PERCENT)
-    pair = candidates.select(F.col("key").alias("_key"), F.col("item").alias("_item"))
-    sure = exact.join(pair, exact["key"].eqNullSafe(pair["_key"]) & exact["item"].eqNullSafe(pair["_item"]), "left_semi")
-    return sure.select("key", "item", "shared", F.col("n").alias("item_shingles"), (F.col("shared") / F.col("n")).alias("containment"))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((docs, key), (items, item_key))]
+    if not widths:  # no item has a word
+        return docs.sparkSession.createDataFrame([], f"key {kinds[0]}, t long, item {kinds[1]}, shared long, item_shingles long, containment double")
+    whole = F.col(text).cast("string")
+    named = docs.select(F.col(key).alias("key"), F.xxhash64(whole).alias("t"), whole.alias("text"))
+
+    def shingles(df: DataFrame, make: object) -> DataFrame:
+        """One row per window of every width; the words of a text are split once."""
+        return df.select("key", "t", words(F.col("text")).alias("w")).select("key", "t", F.explode(F.concat(*[windows(F.col("w"), n, make) for n in widths])).alias("s"))
+
+    side = bounded_broadcast(stage(sketches(wanted), "sketches").select("h", "item").distinct(), MAX_ROWS)
+    found = shingles(named, hashed).join(side, F.col("s") == F.col("h")).select("key", "t", "item").distinct()
+    candidates = stage(found, "candidates")
+    # Only candidates are read again; their pairs bring the items' shingles, so a shingle of many items meets no other pair.
+    names = bounded_broadcast(candidates.select(F.col("key").alias("_key"), F.col("t").alias("_t")).distinct(), MAX_ROWS)
+    near = named.join(names, (F.col("t") == F.col("_t")) & F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+    terms = wanted.select(F.col("item").alias("_item"), "shingle", "n")
+    asked = bounded_broadcast(candidates.join(bounded_broadcast(terms, MAX_ROWS), F.col("item").eqNullSafe(F.col("_item"))).select(F.col("key").alias("_key"), F.col("t").alias("_t"), "item", "shingle", "n"), MAX_ROWS)
+    hits = shingles(near, joined).distinct().join(asked, (F.col("t") == F.col("_t")) & (F.col("s") == F.col("shingle")) & F.col("key").eqNullSafe(F.col("_key")))
+    counted = hits.groupBy("key", "t", "item", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") * 100 >= F.col("n") * PERCENT)
+    return counted.select("key", "t", "item", "shared", F.col("n").alias("item_shingles"), (F.col("shared") / F.col("n")).alias("containment"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that holds a benchmark item, with the item."""
+    """Every document that holds a benchmark item, with the item. Texts that share a doc_id, or have none, are
+    documents of their own; equal rows are one. Null and empty texts hold nothing and items without words match nothing;
+    empty tables give no row."""
     found = search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "shared", "item_shingles", "containment")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no item; columns are those of ``docs``. Each row is judged by its own text, whatever rows
-    share its key: the search is keyed by a hash of the text."""
-    own = free_name(docs, "_text")
-    named = docs.withColumn(own, F.xxhash64(F.col(text).cast("string")))
-    gone = stage(search(named, items, own, text).select(F.col("key").alias(own)).distinct(), "contaminated")
-    return named.join(bounded_broadcast(gone, MAX_ROWS), own, "left_anti").drop(own)
+    share its key. Null and empty texts stay."""
+    own, named_key = free_name(docs, "_text"), free_name(docs, "_named_key")
+    gone = stage(search(docs, items, key, text).select(F.col("key").alias(named_key), F.col("t").alias(own)).distinct(), "contaminated")
+    hit = (F.xxhash64(F.col(text).cast("string")) == F.col(own)) & F.col(key).eqNullSafe(F.col(named_key))
+    return docs.join(bounded_broadcast(gone, MAX_ROWS), hit, "left_anti")
 
 
 #: DuckDB's form of the search, for any relation with doc_id and text: exact, without sketches.
@@ -116,10 +115,10 @@ ditems AS (SELECT item_id, list_filter(regexp_split_to_array(lower(COALESCE(text
 iwide AS (SELECT *, least(len(w), 5) AS width FROM ditems WHERE len(w) > 0),
 ishingles AS (SELECT DISTINCT item_id, width, array_to_string(w[i:i + width - 1], ' ') AS shingle FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM iwide)),
 isizes AS (SELECT item_id, count(*) AS n FROM ishingles GROUP BY item_id),
-dwords AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(COALESCE(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM {docs}),
-dshingles AS (SELECT doc_id, width, array_to_string(w[i:i + width - 1], ' ') AS shingle FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM dwords, (SELECT DISTINCT width FROM iwide))),
-dhits AS (SELECT DISTINCT d.doc_id, i.item_id, i.shingle FROM dshingles d JOIN ishingles i ON d.shingle = i.shingle AND d.width = i.width),
-dcounts AS (SELECT doc_id, item_id, count(*) AS shared FROM dhits GROUP BY doc_id, item_id),
+dwords AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(COALESCE(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM {docs})),
+dshingles AS (SELECT rid, doc_id, width, array_to_string(w[i:i + width - 1], ' ') AS shingle FROM (SELECT rid, doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM dwords, (SELECT DISTINCT width FROM iwide))),
+dhits AS (SELECT DISTINCT d.rid, d.doc_id, i.item_id, i.shingle FROM dshingles d JOIN ishingles i ON d.shingle = i.shingle AND d.width = i.width),
+dcounts AS (SELECT doc_id, item_id, count(*) AS shared FROM dhits GROUP BY rid, doc_id, item_id),
 leaks AS (SELECT c.doc_id, c.item_id, c.shared, s.n AS item_shingles, c.shared / s.n AS containment FROM dcounts c JOIN isizes s ON c.item_id IS NOT DISTINCT FROM s.item_id WHERE c.shared * 100 >= s.n * 80)
 """
 
