@@ -217,9 +217,10 @@ def test_components_on_a_long_chain(spark):
 
 def test_decontamination(spark, tables, docs_rows):
     split = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
-    item = {tuple(split(docs_rows[13][1])[k : k + 5]) for k in range(16)}
-    want = {(r[0], 1) for r in docs_rows if len(item & {tuple(split(r[1])[k : k + 5]) for k in range(len(split(r[1])))}) >= 0.8 * len(item)}
-    want |= {(r[0], 5) for r in docs_rows if "one" in split(r[1])}
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    item, worded = grams(split(docs_rows[13][1])), {r[0]: split(r[1]) for r in docs_rows}
+    want = {(i, 1) for i, w in worded.items() if len(item & grams(w)) >= 0.8 * len(item)}
+    want |= {(i, 5) for i, w in worded.items() if "one" in w}
     got = decontamination.op4_decontamination(spark, tables).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) >= 3
     kept = decontamination.drop_contaminated(spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/benchmark.parquet"))
@@ -329,6 +330,56 @@ def test_toxicity(spark, tables, docs_rows):
     assert mean(lambda t: "idiot" in t) > mean(lambda t: "idiot" not in t)
 
 
+def naive_features(text: str | None) -> list[int]:
+    spaced, found = " ".join((text or "").lower().split()), set()
+    spaced = f" {spaced} " if spaced else ""
+    for n in toxicity.GRAMS:
+        for k in range(len(spaced) - n + 1):
+            h = 0
+            for c in spaced[k : k + n]:
+                h = (h * int(toxicity.STEP) + ord(c)) % 2**64
+            found.add(((h + n) * int(toxicity.FINISH) % 2**64) >> (64 - toxicity.BITS))
+    return sorted(found)
+
+
+def test_toxicity_features_of_pieces(monkeypatch):
+    seen, rng = np.zeros(toxicity.SIZE, bool), random.Random(1)
+    for chunk in (toxicity.CHUNK, 3, 7, 11):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        for _ in range(200):
+            t = "".join(rng.choice("ab É\n  xyz") for _ in range(rng.randrange(60)))
+            assert toxicity.features(t, seen).tolist() == naive_features(t), (chunk, t)
+    assert toxicity.features(None, seen).tolist() == [] and not seen.any()
+
+
+def test_toxicity_model_matches_brute_force(spark, tables, docs_rows, monkeypatch):
+    """Ratios, selection and regression, the latter by Newton steps on a dense matrix."""
+    train = [(set(naive_features(t)), int("idiot" in (t or ""))) for i, t, *_ in docs_rows if zlib.crc32(str(i).encode()) % 5]
+    y = np.array([b for _, b in train], float)
+    n1, n0 = y.sum(), (1 - y).sum()
+    counts = np.zeros((2, toxicity.SIZE))
+    for fs, b in train:
+        counts[b][list(fs)] += 1
+    smooth = counts + 0.5
+    ratio = np.log((smooth[1] / smooth[1].sum()) / (smooth[0] / smooth[0].sum()))
+    rate = counts.sum(axis=0) / len(train)
+    apart = np.abs(counts[1] / n1 - counts[0] / n0) - 0.5 / n0 - 0.5 / n1
+    used = [f for f in range(toxicity.SIZE) if apart[f] > 0 and apart[f] >= 4 * np.sqrt(rate[f] * (1 - rate[f]) * (1 / n0 + 1 / n1))]
+    x = np.array([[ratio[f] * (f in fs) for f in used] + [1.0] for fs, _ in train])
+    v, ridge = np.zeros(len(used) + 1), np.diag([toxicity.L2] * len(used) + [0.0])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ v))
+        v -= 0.5 * np.linalg.solve((x.T * (p * (1 - p))) @ x / len(y) + ridge + 1e-12 * np.eye(len(v)), x.T @ (p - y) / len(y) + ridge @ v)
+    got = rows_of(toxicity.op1_toxicity(spark, tables))
+    for i, t, *_ in docs_rows:
+        own = set(naive_features(t))
+        z = v[-1] + sum(v[k] * ratio[f] for k, f in enumerate(used) if f in own)
+        assert abs(got[i]["score"] - 1 / (1 + np.exp(-z))) < 0.005, i
+    assert len(used) > 5
+    monkeypatch.setattr(toxicity, "MAX_LOCAL", 0)  # slopes summed in tasks: the same model
+    assert {i: r["score"] for i, r in rows_of(toxicity.op1_toxicity(spark, tables)).items()} == {i: r["score"] for i, r in got.items()}
+
+
 def test_toxicity_held_out_accuracy(spark, sf_dir):
     got = toxicity.op1_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").toPandas()
     rank = got["score"].rank()
@@ -343,18 +394,62 @@ def test_quality(spark):
     assert got["kept"][got["quality"] == 1].mean() > 0.98 and got["kept"][got["quality"] == 0].mean() < 0.5
 
 
-def test_quality_model_matches_counts(spark, tables, docs_rows):
-    model, share = quality.fit(spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet"))
+def test_quality_model_matches_counts(spark, tables, docs_rows, monkeypatch):
+    docs, labels = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet")
+    monkeypatch.setattr(quality, "CHUNK", 1000)  # long texts are counted in pieces
+    model = quality.ratios(docs, labels)
     good = {r[0] for k, r in enumerate(docs_rows) if k % 7}
     counts = np.zeros((2, 1 << quality.BITS))
     for i, t, *_ in docs_rows:
-        own = np.bincount(quality.buckets((t or "").encode()), minlength=1 << quality.BITS)
-        counts[0] += own
-        counts[1] += own * (i in good)
+        raw = (t or "").encode()
+        for k in range(len(raw) - 3):
+            gram = int.from_bytes(raw[k : k + 4], "big") * 0x9E3779B1 % 2**32 >> 32 - quality.BITS
+            counts[0, gram] += 1
+            counts[1, gram] += i in good
     p = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * (1 << quality.BITS))
-    assert np.allclose(model, np.log(p[1] / p[0])) and 0.8 < share <= 1
-    kept = quality.keep_good(spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet"))
-    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in quality.op5_quality(spark, tables).collect() if r["kept"]}
+    assert np.allclose(model, np.log(p[1] / p[0]))
+
+
+def test_quality_selection(spark, tables, docs_rows):
+    """The tempered weights, k and the top k, worked out again from the mean log ratios."""
+    docs, labels = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet")
+    model = quality.ratios(docs, labels)
+    mean = {}
+    for i, t, *_ in docs_rows:
+        b = quality.buckets((t or "").encode())
+        mean[i] = float(model[b].mean()) if len(b) else 0.0
+    good = np.array([k % 7 != 0 for k in range(len(docs_rows))])
+    x = np.round(np.array([mean[r[0]] for r in docs_rows]) * quality.BINS) / quality.BINS
+    aim = np.where(good, (good.sum() + 1) / (good.sum() + 2), 1 / ((~good).sum() + 2))
+    got = rows_of(quality.op5_quality(spark, tables))
+    means, weights = np.array([mean[i] for i in got]), np.array([r["log_weight"] for r in got.values()])
+    slope, offset = np.polyfit(means, weights, 1)
+    assert np.allclose(weights, offset + slope * means)
+    error = 1 / (1 + np.exp(-(offset + slope * x))) - aim  # of the regression: no slope is left
+    assert abs(error.sum()) < 1e-3 and abs((error * x).sum()) < 1e-3
+    k = int(np.ceil((1 / (1 + np.exp(-weights))).sum()))
+    best = sorted(got, key=lambda i: -got[i]["score"])[:k]
+    assert {i for i, r in got.items() if r["kept"]} == set(best) and 0 < k < len(got)
+    assert {r["doc_id"] for r in quality.keep_good(docs, labels).collect()} == set(best)
+
+
+def test_quality_samples_by_weight(spark):
+    """How often a document is among the top k follows drawing without replacement in proportion to the weights."""
+    weights, k, draws = np.exp(np.linspace(-3, 2, 25)), 6, 4000
+    noisy = spark.range(draws).withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(24)))).select("id", "key", quality.gumbel(F.col("id"), F.col("key")).alias("g")).toPandas()
+    scores = noisy.pivot(index="id", columns="key", values="g").to_numpy() + np.log(weights)
+    found = np.bincount(np.argsort(-scores, axis=1)[:, :k].ravel(), minlength=25) / draws
+    rng, want = np.random.default_rng(0), np.zeros(25)
+    for _ in range(draws):
+        want[rng.choice(25, k, replace=False, p=weights / weights.sum())] += 1 / draws
+    assert np.abs(found - want).max() < 0.04
+
+
+def test_quality_noise_matters(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    one, two = ({r["doc_id"] for r in quality.keep_good(docs, labels, seed=k).select("doc_id").collect()} for k in (1, 2))
+    assert one != two and len(one) == len(two) and len(one & two) > 0.9 * len(one)
 
 
 def brute_repeats(rows: list[tuple[int, str | None]]) -> dict:
@@ -371,20 +466,52 @@ def brute_repeats(rows: list[tuple[int, str | None]]) -> dict:
     return out
 
 
-@pytest.mark.parametrize(("crowd", "batch", "span"), [(2000, 10_000, 0), (1, 3, 0)])
-def test_suffixes(spark, tables, docs_rows, crowd, batch, span):
-    before = suffixes.CROWD
+@pytest.mark.parametrize(("crowd", "batch", "bucket"), [(2000, 10_000, 1 << 20), (1, 3, 1 << 20), (2000, 5, 60)])
+def test_suffixes(spark, tables, docs_rows, crowd, batch, bucket, monkeypatch):
+    """Also with crowded tokens, small batches, and buckets so small that their boundaries cut most tokens."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    suffixes.CROWD = crowd
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(suffixes, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(suffixes, "SAMPLE_ROWS", bucket * 20)
     try:
         got = rows_of(suffixes.op10_suffix_dedup(spark, tables))
     finally:
-        suffixes.CROWD = before
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     want = brute_repeats([(r[0], r[1]) for r in docs_rows])
     assert {i: tuple(r)[1:] for i, r in got.items()} == want and sum(v[1] for v in want.values()) > 1000
 
 
+def test_multikey_quicksort(monkeypatch):
+    monkeypatch.setattr(suffixes, "SMALL", 4)
+    rng = np.random.default_rng(3)
+    for n, most in ((0, 2), (1, 2), (50, 2), (3000, 5), (3000, 1 << 62)):
+        words = [rng.integers(0, most, n).astype(np.uint64) for _ in range(4)]
+        order = suffixes.multikey_quicksort(words)
+        rows = list(zip(*[w.tolist() for w in words], strict=True))
+        assert sorted(order.tolist()) == list(range(n)) and [rows[k] for k in order] == sorted(rows)
+        split = suffixes.Buckets([w[: n // 3] for w in words], 5)
+        bucket = split.of(words)
+        assert [bucket[k] for k in order] == sorted(bucket.tolist())
+
+
+def test_buckets_meet():
+    """Runs of (token, context) cut at random into buckets: what ``across`` says, against the whole run."""
+    rng = random.Random(5)
+    for _ in range(300):
+        rows = sorted((rng.randrange(3), rng.randrange(3)) for _ in range(rng.randrange(1, 14)))
+        cuts = sorted({0, len(rows), *[rng.randrange(1, len(rows) + 1) for _ in range(4)]})
+        buckets = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
+        ends = []
+        for k, part in enumerate(buckets):
+            size = lambda t: len({c for x, c in part if x == t})  # noqa: B023, E731
+            single = int(part[0][0] == part[-1][0])
+            ends += [(2 * k, suffixes.START, *part[0], single, size(part[0][0])), (2 * k, suffixes.END, *part[-1], single, size(part[-1][0]))]
+        rng.shuffle(ends)
+        several = lambda t: len({c for x, c in rows if x == t}) > 1  # noqa: B023, E731
+        want = [(2 * k, k > 0 and buckets[k - 1][-1] == part[0], several(part[0][0]), several(part[-1][0])) for k, part in enumerate(buckets)]
+        assert suffixes.across(ends) == want
+
+
 def test_suffixes_random(spark):
     rng = random.Random(11)
     pool = ["".join(rng.choice("abcde \n") for _ in range(rng.randrange(40, 260))) for _ in range(12)]
@@ -433,6 +560,57 @@ def test_chat_tree(spark, tables):
     assert output.count(shared) == 1 and output.count("x" * 9000) == 1 and members.count() == 8
 
 
+def told(spark, talk: dict[int, list[tuple[str, str]]]):
+    return spark.createDataFrame([(c, k, role, text) for c, turns in talk.items() for k, (role, text) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+
+
+def check_read_back(spark, talk: dict[int, list[tuple[str, str]]]) -> None:
+    segments, members = chat.format_conversations(told(spark, talk))
+    rows = sorted(segments.collect(), key=lambda r: r["seg"])
+    output, nodes = "".join(r["text"] for r in rows), {tuple(t[: k + 1]) for t in talk.values() for k in range(len(t))}
+    assert len(output) == sum(len(chat.format_turn(*n[-1])) for n in nodes)  # each turn of the tree once
+    at = 0
+    for r in rows:
+        assert r["start"] == at and r["position"] == sum(a["end"] - a["start"] for a in r["ancestors"])
+        assert all(b["start"] > a["end"] for a, b in zip(r["ancestors"], r["ancestors"][1:]))
+        at += len(r["text"])
+    got = {r["conv"]: r for r in chat.per_member(members, chat.read_back(segments)).collect()}
+    assert set(got) == set(talk)
+    for c, turns in talk.items():
+        assert got[c]["formatted"] == "".join(chat.format_turn(*t) for t in turns)
+        assert chat.unescape(got[c]["masked"]) == "".join(t for r, t in turns if r == "assistant")
+
+
+def test_chat_ranges_meet(spark, monkeypatch):
+    """Random trees with repeated conversations and ones that begin others, over many ranges and small batches."""
+    monkeypatch.setattr(chat, "CELL", 64)
+    monkeypatch.setattr(chat, "HOT", 3)
+    rng = random.Random(9)
+    settings = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for n, kinds in ((3, 2), (60, 2), (60, 1)):
+            check_read_back(spark, {c: [(("user", "assistant")[k % 2], f"<{rng.randrange(kinds)}# " + "y" * rng.choice([0, 40])) for k in range(rng.randrange(1, 9))] for c in range(n)})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_chat_popular_first_turn_and_long_conversation(spark):
+    talk = {c: [("user", "the same first turn " * 5), ("assistant", f"answer {c}")] for c in range(3000)}
+    talk[-1] = [(("user", "assistant")[k % 2], f"turn {k} of many") for k in range(10_000)]
+    check_read_back(spark, talk)
+
+
+def test_chat_rows_without_a_conversation(spark):
+    df = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", None), (5, None, None, None)], "conv_id long, turn long, role string, text string")
+    segments, members = chat.format_conversations(df)
+    got = sorted((r["conv"] is None, r["formatted"]) for r in chat.per_member(members, chat.read_back(segments)).collect())
+    assert got == sorted([(True, chat.format_turn("user", "a"))] * 2 + [(True, chat.format_turn("assistant", "")), (False, chat.format_turn("", ""))])
+
+
 def test_template_is_reversible():
     rng = random.Random(2)
     for _ in range(300):
@@ -455,11 +633,19 @@ def test_null_and_repeated_keys(spark, docs_rows, tmp_path):
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(None, None, None), (3, 1, 1), (3, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None, None, None)] * 3 + [(1, 1, "user", "x")] * 2, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {"op4_decontamination": 0, "op9_chat": 5}
     for name, query in queries().items():
-        if name in ("op4_decontamination", "op9_chat"):
-            continue
-        assert query(spark, str(tmp_path)).count() == len(rows), name
-    assert decontamination.op4_decontamination(spark, str(tmp_path)).count() == 0
+        assert query(spark, str(tmp_path)).count() == want.get(name, len(rows)), name
+
+
+def test_decontamination_of_shared_keys(spark):
+    """Rows that share an id, or have none, are judged apart: halves of an item in two texts don't add up."""
+    item = [f"item{k}" for k in range(24)]
+    for k in (None, 7):
+        docs = [(k, " ".join(["x", *item, "y"])), (k, " ".join(item[:14])), (k, " ".join(item[10:])), (k, "something else"), (k, " ".join(["x", *item, "y"]))]
+        got = decontamination.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item)), (None, " ".join(item))], "item_id long, text string")).collect()
+        assert sorted((r["key"], r["item"] or 0, r["shared"], r["item_shingles"]) for r in got) == [(k, 0, 20, 20), (k, 1, 20, 20)]
 
 
 def test_least_hashed_is_the_exact_top(spark):
