@@ -4,6 +4,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,11 @@ from pyspark.sql import functions as F
 
 from crosstally.plans.grammar import Pair, QuerySet
 
+#: Queries of one GROUPING SETS.
+MAX_SETS = 60
+#: The most cells that a product of two marginals may have; one side of it is broadcast.
+MAX_PRODUCT = 20_000_000
+
 
 def _ids(queries: QuerySet, into: str) -> dict[str, Column]:
     return {f: F.col(f"`{into.format(f)}`") for f in queries.features}
@@ -32,12 +39,17 @@ def _name(queries: QuerySet) -> Column:
 
 
 def aggregate_sets(encoded: DataFrame, queries: QuerySet, measures: Mapping[str, Column], into: str = "{}") -> DataFrame:
-    """The same by GROUPING SETS over the cells of all queries: one Expand, one exchange."""
+    """The same by GROUPING SETS over the cells of all queries: one Expand and one exchange for each MAX_SETS of them
+    (the grouping id has 64 bits)."""
+    if len(queries.queries) > MAX_SETS:
+        parts = [replace(queries, queries=queries.queries[k : k + MAX_SETS]) for k in range(0, len(queries.queries), MAX_SETS)]
+        tables = [aggregate_sets(encoded, p, measures, into) for p in parts]
+        return reduce(DataFrame.unionByName, tables)
     ids = _ids(queries, into)
     cols = [f"__c{k}" for k in range(len(queries.queries))]
     wide = encoded.select(*[q.cell(ids).alias(c) for q, c in zip(queries.queries, cols, strict=True)], *[m.alias(f"__m_{n}") for n, m in measures.items()])
     grouped = wide.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(*[F.sum(f"__m_{n}").alias(n) for n in measures], F.grouping_id().alias("g"))
-    q = (F.lit(len(cols) - 1) - F.log2((F.lit((1 << len(cols)) - 1) - F.col("g")).cast("double"))).cast("int")
+    q = (F.lit(len(cols) - 1) - F.round(F.log2((F.lit((1 << len(cols)) - 1) - F.col("g")).cast("double")))).cast("int")
     return grouped.select(q.alias("q"), F.coalesce(*cols).alias("cell"), *measures).select(_name(queries), "cell", *measures)
 
 
@@ -117,12 +129,14 @@ def decoded(table: DataFrame, pair: Pair) -> DataFrame:
 
 
 def outer_product(table: DataFrame, pair: Pair, measure: str) -> DataFrame:
-    """Products of two features' marginals, in the pair's layout; both sides are bounded by the features' sizes."""
+    """Products of two features' marginals, in the pair's layout, for pairs of at most MAX_PRODUCT cells."""
     a = table.filter(F.col("query") == pair.first).select(F.col("cell").alias("a"), F.col(measure).alias("x"))
     b = table.filter(F.col("query") == pair.second).select(F.col("cell").alias("b"), F.col(measure).alias("y"))
     if pair.hashed:
         raise ValueError(f"{pair.name} is hashed")
-    return a.join(F.broadcast(b)).select(F.lit(pair.name).alias("query"), (F.col("a") + F.lit(pair.step) * F.col("b")).cast("int").alias("cell"), (F.col("x") * F.col("y")).alias("product"))
+    if pair.size > MAX_PRODUCT:
+        raise ValueError(f"{pair.name} has {pair.size} cells")
+    return a.crossJoin(F.broadcast(b)).select(F.lit(pair.name).alias("query"), (F.col("a") + F.lit(pair.step) * F.col("b")).cast("int").alias("cell"), (F.col("x") * F.col("y")).alias("product"))
 
 
 def import_singles(published: DataFrame, names: Mapping[int, str]) -> DataFrame:

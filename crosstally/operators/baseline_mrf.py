@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosstally.functions.optim import preconditioned_step
-from crosstally.operators.mrf import Model, gradient, inverse_hessian
+from crosstally.operators.mrf import Model, gradient, inverse_hessian, noise_part, share
 from crosstally.operators.sampling import Field, _arrays, cell_of, sweep, weights
-from crosstally.operators.scoring import scatter
-from crosstally.sources.staging import stage
+from crosstally.operators.sampling import expectation as plain_expectation
+from crosstally.operators.scoring import dense, scatter
+from crosstally.sources.staging import discard, stage
 
 LINKS = {"identity": lambda s: s, "sigmoid": lambda s: 1 / (1 + np.exp(-s)), "exp": np.exp}
 
@@ -78,21 +79,17 @@ def fit_with_baseline(model: Model, table: DataFrame, base: np.ndarray, base_bia
         field = BaselineField(model.queries, model.mu, model.theta, model.bias, p.with_unknown, nu, base, base_bias, link)
         if k == iterations:
             break
-        d, c, f = (np.zeros(model.queries.total) for _ in range(3))
-        w = 1.0
-        for r in expectation(samples, field).collect():  # a row per cell
-            if r["param"] < 0:
-                w = r["displays"]
-            else:
-                d[r["param"]], c[r["param"]], f[r["param"]] = r["displays"], r["clicks"], r["p0"]
-        d, c, f = (v / w * model.n for v in (d, c, f))
+        found = dense(expectation(samples, field).withColumn("param", F.col("param") + 1), model.queries.total + 1, "displays", "clicks", "p0")  # a row per cell
+        d, c, f = (found[m][1:] / (found["displays"][0] or 1.0) * model.n for m in ("displays", "clicks", "p0"))
         g_mu, g_theta = gradient(model, d, c)
         h_mu, h_theta = inverse_hessian(model, d, c)
         g_nu = f - known + 2 * p.l2_theta * nu
         h_nu = 1 / (2 * p.l2_theta + np.abs(p.alpha * f + (1 - p.alpha) * known) + 1e-9)
         nu = preconditioned_step(nu, g_nu, h_nu, step)
         model = replace(model, mu=preconditioned_step(model.mu, g_mu, h_mu, step * p.mu_step), theta=preconditioned_step(model.theta, g_theta, h_theta, step), iteration=k + 1)
-        samples = stage(sweep(samples, replace(field, mu=model.mu, theta=model.theta, nu=nu), p.seed, k), "samples")
+        old, samples = samples, stage(sweep(samples, replace(field, mu=model.mu, theta=model.theta, nu=nu), p.seed, k), "samples")
+        if k:  # the first ones are the caller's
+            discard(old)
     return model, field
 
 
@@ -105,14 +102,12 @@ def with_row_samples(model: Model, encoded: DataFrame, key: str, into: str = "{}
 
 def fit_on_rows(model: Model, iterations: int) -> Model:
     """Contrastive divergence from the rows themselves: every iteration restarts its chains at the data, one sweep of
-    P(X, Y) long."""
-    from crosstally.operators.mrf import noise_part, predicted
-
+    P(X, Y) long. A sweep and the sums over it are one pass; the rows swept are never written."""
     p = model.params
     step = p.step if p.step is not None else 0.5 / max(1, len(model.queries.queries))
     for k in range(iterations):
-        swept = stage(sweep(model.samples, model.as_field(), p.seed, k, negatives=False), "samples")
-        d, c = predicted(model, swept)
+        own = model.as_field()
+        d, c = share(plain_expectation(sweep(model.samples, own, p.seed, k, negatives=False), own, False), model)
         g_mu, g_theta = gradient(model, d, c, noise_part(model, d, c))
         h_mu, h_theta = inverse_hessian(model, d, c)
         model = replace(model, mu=preconditioned_step(model.mu, g_mu, h_mu, step * p.mu_step), theta=preconditioned_step(model.theta, g_theta, h_theta, step), iteration=k + 1)

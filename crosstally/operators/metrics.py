@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosstally.functions.noise import keyed_uniform
 from crosstally.operators.aggregate import aggregate
 from crosstally.plans.grammar import QuerySet
 
@@ -74,9 +77,35 @@ def mass_curve(table: DataFrame, query: str, observed: str, expected: str) -> Da
     )
 
 
-def curve_area(curve: DataFrame) -> DataFrame:
-    """The mean gap between the two curves."""
-    return curve.agg(F.avg(F.abs(F.col("observed_share") - F.col("expected_share"))).alias("area"))
+def resample(table: DataFrame, query: str, measure: str, draws: int, seed: str, into: str = "resampled") -> DataFrame:
+    """The query's cells with the counts of ``draws`` multinomial draws from the measure's shares. The shares of one
+    query come to the driver; the draws are made in tasks, from a hash of (seed, number)."""
+    part = table.filter(F.col("query") == query)
+    known = part.select("cell", F.greatest(F.col(measure).cast("double"), F.lit(0.0)).alias("v")).orderBy("cell").toArrow()
+    cells, mass = known.column("cell").to_numpy(), known.column("v").to_numpy()
+    if not len(cells) or not mass.sum():
+        return part.withColumn(into, F.lit(0).cast("long"))
+    upto = np.cumsum(mass) / mass.sum()
+
+    @F.arrow_udf("int")
+    def cell_of(u: pa.Array) -> pa.Array:
+        at = np.searchsorted(upto, u.to_numpy(zero_copy_only=False), side="right")
+        return pa.array(cells[np.minimum(at, len(cells) - 1)], pa.int32())
+
+    drawn = table.sparkSession.range(draws).groupBy(cell_of(keyed_uniform(seed, F.col("id"))).alias("cell")).agg(F.count(F.lit(1)).alias(into))
+    return part.join(drawn, "cell", "left").withColumn(into, F.coalesce(into, F.lit(0)))
+
+
+def curve_area(table: DataFrame, query: str, observed: str, expected: str, draws: int = 100_000, seed: str = "0") -> DataFrame:
+    """(area, area_of_sampling), one row: how far the area under the expected counts' cumulative shares is from that of
+    a multinomial resample of the observed counts, and how far the observed counts themselves are from it, cells in
+    the order of the observed counts. The first well above the second is a misfit; near it, chance."""
+    part = resample(table, query, observed, draws, seed).filter((F.col(observed) > 0) | (F.col(expected) > 0))
+    upto = Window.orderBy(F.col(observed).desc(), "cell").rowsBetween(Window.unboundedPreceding, 0)  # the cells of one query
+    every = Window.partitionBy()
+    share = lambda c: F.sum(c).over(upto) / F.sum(c).over(every)
+    curves = part.select(share(observed).alias("d"), share(expected).alias("p"), share("resampled").alias("z"))
+    return curves.agg(F.abs(F.avg("p") - F.avg("z")).alias("area"), F.abs(F.avg("d") - F.avg("z")).alias("area_of_sampling"))
 
 
 def binned(df: DataFrame, features: list[str], label: str, prediction: str) -> DataFrame:

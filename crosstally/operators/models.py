@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from crosstally.functions.noise import expected_gauss_np
 from crosstally.functions.optim import preconditioned_step
 from crosstally.operators.sampling import SCHEMA, _arrays, _batch, cell_of, draw, independent, uniforms
-from crosstally.operators.scoring import row_params, scatter, sigmoid, vector_score
+from crosstally.operators.scoring import dense, row_params, scatter, sigmoid, vector_score
 from crosstally.plans.grammar import Pair, QuerySet
 from crosstally.sources.staging import stage
 
@@ -63,9 +63,8 @@ def fit_aggregate_logistic(
     theta, bias = np.zeros(total), float(np.log(rate / (1 - rate)))
     step = step if step is not None else 0.5 / max(1, len(queries.queries)) * 2
     for _ in range(iterations):
-        n, p = np.zeros(total), np.zeros(total)
-        for r in weighted_cells(indexed, "k", theta, bias).collect():  # a row per cell
-            n[r["param"]], p[r["param"]] = r["n"], r["p"]
+        found = dense(weighted_cells(indexed, "k", theta, bias), total, "n", "p")  # a row per cell
+        n, p = found["n"], found["p"]
         ratio = (n + 1) / (np.maximum(displays, 0) + 1) if rescale else np.ones(total)
         wanted = np.maximum(clicks, 0) * ratio
         if spread is not None:
@@ -107,7 +106,7 @@ def hashed_logistic(train: DataFrame, features: list[str], label: str, pairs: li
 def naive_bayes(encoded: DataFrame, table: DataFrame, queries: QuerySet, into: str = "{}", name: str = "prediction", smoothing: float = 1.0) -> DataFrame:
     """Rates per feature value from the training tables, (clicks + s r) / (displays + s) with r the training rate, combined
     as r prod(p_f / r) against (1 - r) prod((1 - p_f) / (1 - r))."""
-    singles = table.filter(F.col("query").isin(list(queries.features)))
+    singles = stage(table.filter(F.col("query").isin(list(queries.features))), "singles")  # looked up once per feature
     rate = singles.filter(F.col("query") == queries.features[0]).agg((F.sum("clicks") / F.sum("displays")).alias("__r"))
     out = encoded.join(F.broadcast(rate))  # one row
     r, up, down = F.col("__r"), F.lit(0.0), F.lit(0.0)
@@ -160,13 +159,9 @@ def fit_next_feature(samples: DataFrame, queries: QuerySet, target: str, done: l
             some = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[float(rows)], out[some]]))], names=["param", "v"])
 
-        got, rows = np.zeros(total), 1.0
-        for r in samples.mapInArrow(work, "param long, v double").groupBy("param").agg(F.sum("v").alias("v")).collect():
-            if r["param"] < 0:
-                rows = r["v"]
-            else:
-                got[r["param"]] = r["v"]
-        got *= n / rows
+        sums = samples.mapInArrow(work, "param long, v double").groupBy((F.col("param") + 1).alias("param")).agg(F.sum("v").alias("v"))
+        found = dense(sums, total + 1, "v")["v"]  # a row per cell
+        got = found[1:] * (n / max(found[0], 1.0))
         at, new = 0, []
         for q, v in w:
             data, e = (single if q is None else want[q.name]), got[at : at + len(v)]
@@ -187,14 +182,36 @@ def next_law(w: list[tuple[Pair | None, np.ndarray]], x: np.ndarray, place: Mapp
     return p / p.sum(axis=1, keepdims=True), cells
 
 
-def chained_samples(spark: SparkSession, table: DataFrame, queries: QuerySet, n_samples: int = 2_000, iterations: int = 5, seed: int = 0, parts: int = 4) -> DataFrame:
+def chained_samples(spark: SparkSession, table: DataFrame, queries: QuerySet, n_samples: int = 2_000, iterations: int = 5, seed: int = 0, parts: int = 4, path: str | None = None) -> DataFrame:
     """Samples made a feature at a time: the first from its counts, each next from the multinomial fitted to the pair
-    tables with the earlier ones. Staged after each feature."""
+    tables with the earlier ones. Staged after each feature; with a ``path`` they are kept there, and a run that starts
+    again goes on after the last feature that was written in full."""
+
+    def keep(df: DataFrame, k: int) -> DataFrame:
+        if path is None:
+            return stage(df, "chain")
+        df.write.mode("overwrite").parquet(f"{path}/feature-{k}")
+        return spark.read.schema(df.schema).parquet(f"{path}/feature-{k}")
+
+    def kept(k: int) -> DataFrame | None:
+        if path is None:
+            return None
+        written = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/feature-{k}/_SUCCESS")
+        store = written.getFileSystem(spark._jsc.hadoopConfiguration())
+        return spark.read.schema(SCHEMA).parquet(f"{path}/feature-{k}") if store.exists(written) else None
+
     first, rest = queries.features[0], queries.features[1:]
     counts = scatter(table.filter(F.col("query") == first), QuerySet(queries.features, queries.sizes, (queries.named(first),)), "displays")
     one = QuerySet((first,), {first: queries.sizes[first]}, (queries.named(first),))
-    samples, done = stage(independent(spark, one, {first: counts}, n_samples, seed, parts), "chain"), [first]
+    samples = kept(0)
+    if samples is None:
+        samples = keep(independent(spark, one, {first: counts}, n_samples, seed, parts), 0)
+    done = [first]
     for k, f in enumerate(rest, 1):
+        if (known := kept(k)) is not None:
+            samples = known
+            done.append(f)
+            continue
         w = fit_next_feature(samples, queries, f, done, table, float(np.maximum(counts, 0).sum()), iterations)
         place = {g: j for j, g in enumerate(done)}
 
@@ -205,14 +222,14 @@ def chained_samples(spark: SparkSession, table: DataFrame, queries: QuerySet, n_
                 new = draw(p, uniforms(ids, seed, 1, k))
                 yield _batch(ids, batch.column(1).to_numpy(zero_copy_only=False), np.concatenate([x, new[:, None]], axis=1))
 
-        samples = stage(samples.mapInArrow(work, SCHEMA), "chain")
+        samples = keep(samples.mapInArrow(work, SCHEMA), k)
         done.append(f)
     return samples
 
 
-def fit_chained_logistic(spark: SparkSession, table: DataFrame, queries: QuerySet, n_samples: int = 2_000, iterations: int = 10, seed: int = 0) -> Logistic:
+def fit_chained_logistic(spark: SparkSession, table: DataFrame, queries: QuerySet, n_samples: int = 2_000, iterations: int = 10, seed: int = 0, path: str | None = None) -> Logistic:
     """Aggregate logistic on synthetic rows: needs the tables only."""
-    samples = chained_samples(spark, table, queries, n_samples, 5, seed)
+    samples = chained_samples(spark, table, queries, n_samples, 5, seed, path=path)
     rows = samples.select(*[F.col("x")[k].alias(f) for k, f in enumerate(queries.features)])
     return fit_aggregate_logistic(table, rows, queries, iterations)
 

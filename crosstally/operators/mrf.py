@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstally.functions.noise import expected_gauss_np, expected_laplace_np
+from crosstally.functions.noise import expected_gauss_beta_np, expected_gauss_np, expected_laplace_np
 from crosstally.functions.optim import lbfgs, preconditioned_step
 from crosstally.operators.aggregate import median_totals
 from crosstally.operators.sampling import Field, expectation, independent, sweep
-from crosstally.operators.scoring import row_params, scatter, sigmoid, vector_score
+from crosstally.operators.scoring import dense, row_params, scatter, sigmoid, vector_score
 from crosstally.plans.grammar import Pair, QuerySet
-from crosstally.sources.staging import stage
+from crosstally.sources.staging import discard, stage
 
 #: The most states that a field is enumerated over.
 MAX_STATES = 50_000_000
+#: The same on the driver.
+MAX_LOCAL_STATES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -109,35 +112,44 @@ def states(spark: SparkSession, queries: QuerySet, with_unknown: bool = False) -
     return out
 
 
-def exact_expectation(spark: SparkSession, queries: QuerySet, mu: Column, theta: Column, bias: float, n: float, with_unknown: bool = False) -> DataFrame:
-    """(param, displays, clicks): n E[K] and n E[y K] by enumeration, where ``mu`` and ``theta`` are columns over
-    ``param``. Pure SQL, so it can be held against another engine."""
-    rows = states(spark, queries, with_unknown).withColumn("state", F.monotonically_increasing_id()).select("state", F.explode(row_params(queries)).alias("param"))
-    scored = rows.groupBy("state").agg(F.sum(mu).alias("m"), (F.sum(theta) + F.lit(bias)).alias("t"))
-    weighted = scored.select("state", (F.exp("m") * (1 + F.exp("t"))).alias("w"), sigmoid(F.col("t")).alias("p"))
-    z = weighted.agg(F.sum("w").alias("z"))
-    joined = rows.join(weighted, "state").join(F.broadcast(z))
-    return joined.groupBy("param").agg((F.sum("w") / F.max("z") * n).alias("displays"), (F.sum(F.col("w") * F.col("p")) / F.max("z") * n).alias("clicks"))
+def exact_expectation(spark: SparkSession, queries: QuerySet, mu: Callable[[Column], Column], theta: Callable[[Column], Column], bias: float, n: float, with_unknown: bool = False) -> DataFrame:
+    """(param, displays, clicks): n E[K] and n E[y K] by enumeration, where ``mu`` and ``theta`` give a parameter's
+    weights. Pure SQL, so it can be held against another engine. Each state is scored in place from its array of
+    parameters; the one exchange is that of the sums per parameter, with the sum of all weights as parameter -1."""
+    total = lambda of, start: F.aggregate("ps", F.lit(float(start)), lambda acc, p: acc + of(p))
+    scored = states(spark, queries, with_unknown).select(row_params(queries).alias("ps")).select("ps", total(mu, 0.0).alias("m"), total(theta, bias).alias("t"))
+    weighted = scored.select((F.exp("m") * (1 + F.exp("t"))).alias("w"), sigmoid(F.col("t")).alias("p"), F.explode(F.concat(F.array(F.lit(-1).cast("long")), "ps")).alias("param"))
+    sums = weighted.groupBy("param").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("p")).alias("c"))
+    z = sums.filter("param = -1").select(F.col("w").alias("z"))  # one row
+    return sums.filter("param >= 0").crossJoin(F.broadcast(z)).select("param", (F.col("w") / F.col("z") * n).alias("displays"), (F.col("c") / F.col("z") * n).alias("clicks"))
 
 
 def predicted(model: Model, samples: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(E displays, E clicks) per parameter under the model."""
-    d, c = np.zeros(model.queries.total), np.zeros(model.queries.total)
     if model.params.exact:
         return exact_numpy(model)
-    w = 1.0
-    for r in expectation(samples or model.samples, model.as_field(), model.params.negatives).collect():  # a row per cell
-        if r["param"] < 0:
-            w = r["displays"]
-        else:
-            d[r["param"]], c[r["param"]] = r["displays"], r["clicks"]
-    return d / w * model.n, c / w * model.n
+    return share(expectation(samples or model.samples, model.as_field(), model.params.negatives), model)
+
+
+def share(sums: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Sums per parameter, with those of all weights at -1, as expected counts of the model's n rows."""
+    found = dense(sums.withColumn("param", F.col("param") + 1), model.queries.total + 1, "displays", "clicks")  # a row per cell
+    scale = model.n / (found["displays"][0] or 1.0)
+    return found["displays"][1:] * scale, found["clicks"][1:] * scale
+
+
+def enumerated(own: Field) -> np.ndarray:
+    """All states, on the driver; refused beyond MAX_LOCAL_STATES."""
+    sizes = [own.choices(f) for f in own.queries.features]
+    if np.prod([float(s) for s in sizes]) > MAX_LOCAL_STATES:
+        raise ValueError(f"{np.prod([float(s) for s in sizes]):.0f} states are too many to enumerate on the driver")
+    return np.stack([g.ravel() for g in np.meshgrid(*[np.arange(s) for s in sizes], indexing="ij")], axis=1)
 
 
 def exact_numpy(model: Model) -> tuple[np.ndarray, np.ndarray]:
     """The same by enumeration on the driver, for small domains."""
     own = model.as_field()
-    x = np.stack([g.ravel() for g in np.meshgrid(*[np.arange(own.choices(f)) for f in model.queries.features], indexing="ij")], axis=1)
+    x = enumerated(own)
     m, t = own.sums(x)
     w = np.exp(m - m.max()) * (1 + np.exp(t))
     w, p = w / w.sum() * model.n, 1 / (1 + np.exp(-t))
@@ -153,7 +165,12 @@ def noise_part(model: Model, d: np.ndarray, c: np.ndarray) -> tuple[np.ndarray,
     p = model.params
     if p.noise is None:
         return np.zeros_like(d), np.zeros_like(c)
-    if p.noise == "laplace":
+    if p.noise == "gauss_beta":
+        # A cell's share is known from n_samples draws only: of those, prior are expected in the cell.
+        prior = lambda e: np.clip(e, 0.01, max(model.n - 0.01, 0.01)) * p.n_samples / model.n
+        trials = np.full_like(d, model.n)
+        out = tuple(expected_gauss_beta_np(data, trials, prior(e), p.n_samples - prior(e), p.noise_scale) for data, e in ((model.displays, d), (model.clicks, c)))
+    elif p.noise == "laplace":
         out = expected_laplace_np(model.displays, d, p.noise_scale), expected_laplace_np(model.clicks, c, p.noise_scale)
     else:
         out = expected_gauss_np(model.displays, d, p.noise_scale), expected_gauss_np(model.clicks, c, p.noise_scale)
@@ -192,10 +209,11 @@ def fit(model: Model, iterations: int) -> Model:
         mu, theta = preconditioned_step(model.mu, g_mu, h_mu, step * p.mu_step), preconditioned_step(model.theta, g_theta, h_theta, step)
         model = replace(model, mu=mu, theta=theta, iteration=model.iteration + 1, history=[*model.history, float(np.abs(g_theta).mean())])
         if not p.exact:
-            resample = lambda s, k: stage(sweep(s, model.as_field(), p.seed + k, model.iteration, p.negatives, p.blocked), "samples")  # noqa: B023, E731
-            model.samples = resample(model.samples, 0)
-            if model.noise_samples is not None:
-                model.noise_samples = resample(model.noise_samples, 1)
+            for k, name in enumerate(("samples", "noise_samples")):
+                if (old := getattr(model, name)) is not None:
+                    setattr(model, name, stage(sweep(old, model.as_field(), p.seed + k, model.iteration, p.negatives, p.blocked), "samples"))
+                    if model.iteration > 1:  # the first ones are the caller's
+                        discard(old)
     return model
 
 
@@ -218,8 +236,7 @@ def fit_exact(model: Model, iterations: int = 50) -> Model:
 def log_likelihood(model: Model) -> float:
     """Of the aggregates under the enumerated field, per row, penalties included: what ``gradient`` descends, negated."""
     own = model.as_field()
-    x = np.stack([g.ravel() for g in np.meshgrid(*[np.arange(own.choices(f)) for f in model.queries.features], indexing="ij")], axis=1)
-    m, t = own.sums(x)
+    m, t = own.sums(enumerated(own))
     top = m.max()
     log_z = top + np.log((np.exp(m - top) * (1 + np.exp(t))).sum())
     return float(model.displays @ model.mu + model.clicks @ model.theta + model.bias * model.c - model.n * log_z - model.params.l2_mu * model.mu @ model.mu - model.params.l2_theta * model.theta @ model.theta)
@@ -230,6 +247,31 @@ def poisson_loss(model: Model, d: np.ndarray, c: np.ndarray) -> float:
     return float(sum((e - o + o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9))).sum() for o, e in ((model.displays, d), (model.clicks, c))))
 
 
+def block_step(model: Model, query: str, clicks: bool = False, alpha: float = 0.5, curvature: float = 100.0, predictions: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """A step on one query's parameters alone: minus ``alpha`` times the gradient over (2 curvature + data + predicted)."""
+    d, c = predictions or predicted(model)
+    gradients, at = gradient(model, d, c), model.queries.offsets[query]
+    own = slice(at, at + model.queries.named(query).size)
+    name, data, e = ("theta", model.clicks, c) if clicks else ("mu", model.displays, d)
+    moved = getattr(model, name).copy()
+    moved[own] -= alpha * gradients[int(clicks)][own] / (2 * curvature + data[own] + e[own])
+    return replace(model, **{name: moved})
+
+
+def noise_log_probability(model: Model, seed: int = 0) -> float:
+    """The log probability of the noise that the tables would hold if the rows were twice a random half of the samples."""
+    half = model.samples.filter(F.pmod(F.xxhash64(F.lit(seed), "sample_id"), F.lit(2)) == 0)
+    sums = expectation(half, model.as_field(), model.params.negatives)
+    every = expectation(model.samples, model.as_field(), model.params.negatives).filter("param < 0").first()["displays"]
+    found = dense(sums, model.queries.total, "displays", "clicks")
+    noise = np.concatenate([model.displays - 2 * found["displays"] / every * model.n, model.clicks - 2 * found["clicks"] / every * model.n])
+    if model.params.noise == "laplace":
+        a = np.exp(-model.params.noise_scale)
+        return float((np.log((1 - a) / (1 + a)) - model.params.noise_scale * np.abs(noise)).sum())
+    s = model.params.noise_scale
+    return float((-0.5 * np.square(noise / s) - np.log(s * np.sqrt(2 * np.pi))).sum())
+
+
 def predict(encoded: DataFrame, model: Model, into: str = "{}", weight: str | None = None) -> DataFrame:
     """Adds lambda, mu, expmu, explambda (e^lambda e^mu) and prediction; with a ``weight`` column also the expected
     numbers of rows without a label, with one, and of all."""

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crosstally.plans.grammar import Pair, QuerySet, Single
 
@@ -179,6 +180,71 @@ def expectation(samples: DataFrame, field: Field, importance: bool = True) -> Da
     return parts.groupBy("param").agg({"displays": "sum", "clicks": "sum"}).withColumnsRenamed({"sum(displays)": "displays", "sum(clicks)": "clicks"}).select("param", "displays", "clicks")
 
 
+def rao_blackwell(samples: DataFrame, field: Field) -> DataFrame:
+    """The same expectations from samples given Y = 0, with the first feature of each query averaged over its law given
+    the others instead of taken as drawn: fewer samples do."""
+    total, names = field.queries.total, field.queries.features
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, c, w_sum, p_sum = np.zeros(total), np.zeros(total), 0.0, 0.0
+        for batch in batches:
+            _, every = _arrays(batch)
+            for k, feature in enumerate(names):
+                values = np.arange(field.choices(feature), dtype=np.int64)[None, :]
+                step = max(1, CELLS // values.shape[1])
+                for at in range(0, len(every), step):
+                    x = every[at : at + step]
+                    m, t = field.conditional(x, feature)
+                    law = np.exp(m - m.max(axis=1, keepdims=True))
+                    law /= law.sum(axis=1, keepdims=True)
+                    rest = field.sums(x)[1] - t[np.arange(len(x)), x[:, k]]  # of the queries without this feature
+                    odds = np.exp(np.clip(t + rest[:, None], -50, 50))
+                    if k == 0:
+                        w_sum, p_sum = w_sum + (law * (1 + odds)).sum(), p_sum + (law * odds).sum()
+                    for q, first in zip(field.queries.queries, field.queries.offsets.values(), strict=True):
+                        if q.features[0] == feature:
+                            cell = np.broadcast_to(first + cell_of(q, {f: values if f == feature else x[:, names.index(f), None] for f in q.features}), law.shape)
+                            d += np.bincount(cell.ravel(), weights=(law * (1 + odds)).ravel(), minlength=total)
+                            c += np.bincount(cell.ravel(), weights=(law * odds).ravel(), minlength=total)
+        some = np.flatnonzero(d)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[w_sum], d[some]])), pa.array(np.concatenate([[p_sum], c[some]]))], names=["param", "displays", "clicks"])
+
+    parts = samples.mapInArrow(work, "param long, displays double, clicks double")
+    return parts.groupBy("param").agg(F.sum("displays").alias("displays"), F.sum("clicks").alias("clicks"))
+
+
+def mixing(samples: DataFrame, field: Field, sweeps: int, seed: int = 0, blocked: bool = True) -> DataFrame:
+    """(feature, agreements, expected): on how many samples a feature has its old value after some sweeps, and on how many
+    it would if the new values were dealt to the samples at random. Chains that mix bring the two together."""
+    names = list(field.queries.features)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old = [np.zeros(field.queries.sizes[f], np.int64) for f in names]
+        new, same = [x.copy() for x in old], np.zeros(len(names), np.int64)
+        for batch in batches:
+            ids, x = _arrays(batch)
+            y = x
+            for k in range(sweeps):
+                y = blocked_sweep(field, y, ids, seed, k) if blocked else gibbs_sweep(field, y, ids, seed, k)
+            same += (x == y).sum(axis=0) if len(x) else 0
+            for k in range(len(names) if len(x) else 0):
+                old[k] += np.bincount(x[:, k], minlength=len(old[k]))
+                new[k] += np.bincount(y[:, k], minlength=len(new[k]))
+        rows = [(k, -1, int(same[k]), 0) for k in range(len(names))] + [(k, v, int(a), int(b)) for k in range(len(names)) for v, (a, b) in enumerate(zip(old[k], new[k], strict=True)) if a or b]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["k", "v", "a", "b"])
+
+    counts = samples.mapInArrow(work, "k int, v int, a long, b long").groupBy("k", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    n = F.sum(F.when(F.col("v") >= 0, F.col("a")).otherwise(0))
+    found = counts.groupBy("k").agg(F.max(F.when(F.col("v") < 0, F.col("a"))).alias("agreements"), (F.sum(F.when(F.col("v") >= 0, F.col("a") * F.col("b")).otherwise(0)) / n).alias("expected"))
+    return found.select(F.element_at(F.array(*[F.lit(f) for f in names]), F.col("k") + 1).alias("feature"), "agreements", "expected")
+
+
+def to_driver(samples: DataFrame, most: int = 100_000) -> np.ndarray:
+    """The samples with the smallest ids, at most ``most``, as a matrix: for diagnostics."""
+    rows = samples.orderBy("sample_id").limit(most).select("x").toArrow().column("x").combine_chunks()
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0), np.int32)
+
+
 def weights(field: Field, x: np.ndarray, importance: bool) -> tuple[np.ndarray, np.ndarray]:
     _, lam = field.sums(x)
     p = 1 / (1 + np.exp(-lam))

@@ -44,8 +44,17 @@ def sigmoid(x: Column) -> Column:
 
 def scatter(table: DataFrame, queries: QuerySet, measure: str) -> np.ndarray:
     """A long table's measure as a dense vector in parameter order; for models on the driver, of ``queries.total`` numbers."""
-    offsets, out = queries.offsets, np.zeros(queries.total)
-    for r in table.select("query", "cell", measure).toArrow().to_pylist():
-        if r["query"] in offsets:
-            out[offsets[r["query"]] + r["cell"]] = r[measure]
+    places = F.create_map(*[F.lit(x) for pair in queries.offsets.items() for x in pair])
+    rows = table.filter(F.col("query").isin(queries.names)).select((F.element_at(places, F.col("query")) + F.col("cell")).cast("long").alias("param"), F.col(measure).cast("double").alias("v"))
+    return dense(rows, queries.total, "v")["v"]
+
+
+def dense(rows: DataFrame, total: int, *measures: str) -> dict[str, np.ndarray]:
+    """Rows (param, measures) as dense vectors of ``total`` numbers; rows with other parameters are passed over."""
+    table = rows.select("param", *[F.col(m).cast("double").alias(m) for m in measures]).toArrow()
+    at = table.column("param").to_numpy()
+    inside = (at >= 0) & (at < total)
+    out = {m: np.zeros(total) for m in measures}
+    for m in measures:
+        out[m][at[inside]] = table.column(m).to_numpy()[inside]
     return out

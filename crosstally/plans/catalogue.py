@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from crosstally.functions import noise
 from crosstally.operators import aggregate as agg
-from crosstally.operators import baseline_mrf, clean, dictionary, metrics, models, mrf, privacy, sampling
-from crosstally.plans.fixtures import CLICKS, ORDERS, PARTS, RETURNS, SMALL, Fixture, pair_names
+from crosstally.functions.optim import preconditioned_step
+from crosstally.operators import baseline_mrf, clean, dataset, dictionary, metrics, models, mrf, privacy, sampling
+from crosstally.operators.scoring import dense, scatter
+from crosstally.plans.fixtures import CLICKS, ORDERS, PARTS, RETURNS, SMALL, WIDE, Fixture, pair_names
 from crosstally.plans.grammar import QuerySet
+from crosstally.sources.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,9 +46,9 @@ def counts() -> dict[str, Column]:
 
 
 def table_of(spark: SparkSession, sf_dir: str, fixture: Fixture, spec: str = "*&*", caps: int | dict[str, int] | None = None) -> tuple[DataFrame, QuerySet, DataFrame, dictionary.Dictionaries]:
-    encoded, known = fixture.encoded(spark, sf_dir)
-    q = fixture.queries(known, spec, caps)
-    return agg.aggregate(encoded, q, counts()), q, encoded, known
+    rows = fixture.rows(spark, sf_dir)
+    data = dataset.from_rows(rows, fixture.names(), spec, caps=caps)
+    return data.table, data.queries, data.encode(rows), data.dictionaries
 
 
 def cells(fixture: Fixture, names: list[str], measures: dict[str, str] | None = None, caps: dict[str, int] | int | None = None, where: str = "TRUE") -> str:
@@ -75,6 +78,22 @@ def agg_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_of(spark, sf_dir, RETURNS)[0]
 
 
+WIDE_NAMES = WIDE.names()
+
+
+@register("agg_wide", cells(WIDE, [*WIDE_NAMES, *pair_names(WIDE_NAMES)]))
+def agg_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eleven features and all their pairs, 66 queries, in one plan."""
+    return table_of(spark, sf_dir, WIDE)[0]
+
+
+@register("agg_wide_sets", cells(WIDE, [*WIDE_NAMES, *pair_names(WIDE_NAMES)]))
+def agg_wide_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by GROUPING SETS: more queries than one grouping id can tell apart."""
+    encoded, known = WIDE.encoded(spark, sf_dir)
+    return agg.aggregate_sets(encoded, WIDE.queries(known), counts())
+
+
 @register("agg_orders", cells(ORDERS, [*ORDERS.names(), *pair_names(ORDERS.names())]))
 def agg_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_of(spark, sf_dir, ORDERS)[0]
@@ -256,7 +275,12 @@ def ctr_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.rate_buckets(rows, "l_partkey", (F.col("l_returnflag") == "R").cast("long"))
 
 
-@register("ctr_buckets_noisy")
+def _gauss_noise_sql(sigma: float, k: int) -> str:
+    u = [f"((CAST(CAST('0x' || substr(md5('{j}|' || value), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0)" for j in (k, k + 1)]
+    return f"{sigma!r} * sqrt(-2.0 * ln({u[0]})) * cos({2 * pi!r} * {u[1]})"
+
+
+@register("ctr_buckets_noisy", _ctr_sql(f"SELECT value, greatest(d + {_gauss_noise_sql(3.0, 2)}, 1.0) AS d, greatest(c + {_gauss_noise_sql(3.0, 0)}, 0.0) AS c FROM (SELECT l_partkey AS value, CAST(count(*) AS DOUBLE) AS d, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE) AS c FROM lineitem GROUP BY ALL)"))
 def ctr_buckets_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     u = [noise.keyed_uniform(str(k), F.col("value")) for k in range(4)]
@@ -448,7 +472,7 @@ def _small(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, QuerySet, DataF
 def _expected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, QuerySet]:
     table, q, encoded = _small(spark, sf_dir)
     n = float(encoded.count())
-    return mrf.exact_expectation(spark, q, fixed_mu(F.col("param")), fixed_theta(F.col("param")), BIAS, n), table, q
+    return mrf.exact_expectation(spark, q, fixed_mu, fixed_theta, BIAS, n), table, q
 
 
 @register("enum_states", f"{_FIELDS_SQL} SELECT l_linestatus, l_linenumber, l_discount FROM st")
@@ -462,40 +486,88 @@ def mrf_exact_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expected.select("param", F.round("displays", 5).alias("displays"), F.round("clicks", 5).alias("clicks"))
 
 
-def _gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fixed_vectors(q: QuerySet) -> tuple[np.ndarray, np.ndarray]:
+    i = np.arange(q.total)
+    return ((17 * i) % 11 - 5) / 10.0, ((13 * i) % 7 - 3) / 10.0
+
+
+def _at_fixed(spark: SparkSession, sf_dir: str, **settings: object) -> tuple[mrf.Model, np.ndarray, np.ndarray]:
+    """The field with the fixed parameters, fitted to the table's counts, and what it expects of them."""
     expected, table, q = _expected(spark, sf_dir)
-    offsets = F.create_map(*[F.lit(x) for pair in q.offsets.items() for x in pair])
-    observed = table.select((F.element_at(offsets, F.col("query")) + F.col("cell")).cast("long").alias("param"), F.col("displays").alias("d"), F.col("clicks").alias("c"))
-    rows = expected.withColumnsRenamed({"displays": "ed", "clicks": "ec"}).join(observed, "param", "left").fillna(0, ["d", "c"])
-    rows = rows.withColumn("mu", fixed_mu(F.col("param"))).withColumn("theta", fixed_theta(F.col("param")))
-    return rows.withColumn("g_mu", -F.col("d") + F.col("ed") + 2 * L2 * F.col("mu")).withColumn("g_theta", -F.col("c") + F.col("ec") + 2 * L2 * F.col("theta"))
+    found = dense(expected, q.total, "displays", "clicks")
+    displays, clicks = (scatter(table, q, m) for m in ("displays", "clicks"))
+    mu, theta = _fixed_vectors(q)
+    params = mrf.Params(exact=True, l2_mu=L2, l2_theta=L2, alpha=ALPHA, **settings)
+    return mrf.Model(q, params, displays, clicks, 1.0, 0.5, mu, theta, BIAS, 0.0, np.ones(q.total, bool)), found["displays"], found["clicks"]
+
 
+def _seen(spark: SparkSession, expected: np.ndarray, digits: int, **vectors: np.ndarray) -> DataFrame:
+    """The parameters of cells that the enumerated states have."""
+    rows = _parameters(spark, seen=expected, **vectors).filter("seen > 0")
+    return rows.select("param", *[(F.round(v, digits) + F.lit(0.0)).alias(v) for v in vectors])
 
-@register("mrf_gradient", f"{_FIELDS_SQL}{_DATA_SQL} SELECT param, round(g_mu, 5) AS g_mu, round(g_theta, 5) AS g_theta FROM gr")
+
+@register("mrf_gradient", f"{_FIELDS_SQL}{_DATA_SQL} SELECT param, round(g_mu, 5) + 0.0 AS g_mu, round(g_theta, 5) + 0.0 AS g_theta FROM gr")
 def mrf_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gradients(spark, sf_dir).select("param", F.round("g_mu", 5).alias("g_mu"), F.round("g_theta", 5).alias("g_theta"))
+    model, d, c = _at_fixed(spark, sf_dir)
+    g_mu, g_theta = mrf.gradient(model, d, c)
+    return _seen(spark, d, 5, g_mu=g_mu, g_theta=g_theta)
 
 
-@register("mrf_modified_gradient", f"{_FIELDS_SQL}{_DATA_SQL} SELECT param, round(-c * least((ed + 1) / (d + 1), 1.0) + ec * least((d + 1) / (ed + 1), 1.0) + {2 * L2} * theta, 5) AS g_theta FROM gr")
+@register("mrf_modified_gradient", f"{_FIELDS_SQL}{_DATA_SQL} SELECT param, round(-c * least((ed + 1) / (d + 1), 1.0) + ec * least((d + 1) / (ed + 1), 1.0) + {2 * L2} * theta, 5) + 0.0 AS g_theta FROM gr")
 def mrf_modified_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = (F.col("d") + 1) / (F.col("ed") + 1)
-    g = -F.col("c") * F.least(1 / r, F.lit(1.0)) + F.col("ec") * F.least(r, F.lit(1.0)) + 2 * L2 * F.col("theta")
-    return _gradients(spark, sf_dir).select("param", F.round(g, 5).alias("g_theta"))
+    model, d, c = _at_fixed(spark, sf_dir, modified_gradient=True)
+    return _seen(spark, d, 5, g_theta=mrf.gradient(model, d, c)[1])
 
 
-@register("mrf_precond_step", f"{_FIELDS_SQL}{_DATA_SQL} SELECT param, round(mu - {STEP} * greatest(-2.0, least(2.0, g_mu / ({2 * L2} + {ALPHA} * ed + {1 - ALPHA} * d))), 6) AS mu, round(theta - {STEP} * greatest(-2.0, least(2.0, g_theta / ({2 * L2} + {ALPHA} * ec + {1 - ALPHA} * c))), 6) AS theta FROM gr")
+@register("mrf_precond_step", f"{_FIELDS_SQL}{_DATA_SQL} SELECT param, round(mu - {STEP} * greatest(-2.0, least(2.0, g_mu / ({2 * L2} + {ALPHA} * ed + {1 - ALPHA} * d))), 6) + 0.0 AS mu, round(theta - {STEP} * greatest(-2.0, least(2.0, g_theta / ({2 * L2} + {ALPHA} * ec + {1 - ALPHA} * c))), 6) + 0.0 AS theta FROM gr")
 def mrf_precond_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def moved(w: str, g: str, e: str, d: str) -> Column:
-        direction = F.col(g) / (F.lit(2 * L2) + ALPHA * F.col(e) + (1 - ALPHA) * F.col(d))
-        return F.round(F.col(w) - STEP * F.greatest(F.lit(-2.0), F.least(F.lit(2.0), direction)), 6).alias(w)
+    model, d, c = _at_fixed(spark, sf_dir)
+    moved = [preconditioned_step(w, g, h, STEP) for w, g, h in zip((model.mu, model.theta), mrf.gradient(model, d, c), mrf.inverse_hessian(model, d, c), strict=True)]
+    return _seen(spark, d, 6, mu=moved[0], theta=moved[1])
+
+
+_BLOCK = SMALL_QUERIES[3]
+_BLOCK_SQL = f"param >= (SELECT {' + '.join(SMALL.cell_sql(q)[1] for q in SMALL_QUERIES[:3])} FROM sz s) AND param < (SELECT {' + '.join(SMALL.cell_sql(q)[1] for q in SMALL_QUERIES[:4])} FROM sz s)"
 
-    return _gradients(spark, sf_dir).select("param", moved("mu", "g_mu", "ed", "d"), moved("theta", "g_theta", "ec", "c"))
+
+@register("mrf_block_step", f"{_FIELDS_SQL}{_DATA_SQL} SELECT param, round(CASE WHEN {_BLOCK_SQL} THEN mu - 0.5 * g_mu / (200.0 + d + ed) ELSE mu END, 6) + 0.0 AS mu FROM gr")
+def mrf_block_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step on the parameters of one pair alone."""
+    model, d, c = _at_fixed(spark, sf_dir)
+    return _seen(spark, d, 6, mu=mrf.block_step(model, _BLOCK, predictions=(d, c)).mu)
+
+
+def _chain_sql(steps: int) -> str:
+    """The field fitted to the small table by preconditioned steps, with expectations over the enumerated states."""
+    step = 0.5 / len(SMALL_QUERIES)
+    singles = " UNION ALL ".join(f"SELECT param, ln(greatest(d, 0.5)) - avg(ln(greatest(d, 0.5))) OVER () AS mu FROM dat, sz s WHERE param >= {at} AND param < {at} + {SMALL.cell_sql(n)[1]}" for n, at in zip(SMALL_NAMES, ("0", "s.l_linestatus", "s.l_linestatus + s.l_linenumber")))
+    head = f""",
+pr AS (SELECT unnest(range(0, (SELECT {' + '.join(SMALL.cell_sql(q)[1] for q in SMALL_QUERIES)} FROM sz s))) AS param),
+obs AS (SELECT param, count(*) AS d, sum(label) AS c FROM (SELECT label, CAST(unnest([{', '.join(_params_sql(SMALL, SMALL_QUERIES))}]) AS BIGINT) AS param FROM enc e, sz s) GROUP BY param),
+dat AS MATERIALIZED (SELECT pr.param, CAST(COALESCE(d, 0) AS DOUBLE) AS d, CAST(COALESCE(c, 0) AS DOUBLE) AS c FROM pr LEFT JOIN obs USING (param)),
+al AS (SELECT count(*) AS n, ln(sum(label) / (count(*) - sum(label))) AS b FROM enc),
+p0 AS MATERIALIZED (SELECT dat.param, COALESCE(i.mu, 0.0) AS mu, 0.0 AS theta FROM dat LEFT JOIN ({singles}) i USING (param))"""
+    rounds = "".join(f""",
+s{k} AS MATERIALIZED (SELECT state, exp(sum(mu)) * (1 + exp(sum(theta) + any_value(b))) AS w, 1 / (1 + exp(-(sum(theta) + any_value(b)))) AS p FROM kp JOIN p{k} USING (param), al GROUP BY state),
+e{k} AS (SELECT param, sum(w) / (SELECT sum(w) FROM s{k}) * (SELECT n FROM al) AS ed, sum(w * p) / (SELECT sum(w) FROM s{k}) * (SELECT n FROM al) AS ec FROM kp JOIN s{k} USING (state) GROUP BY param),
+p{k + 1} AS MATERIALIZED (SELECT param, mu - {step!r} * greatest(-2.0, least(2.0, (COALESCE(ed, 0) - d + 32.0 * mu) / (32.0 + 0.5 * COALESCE(ed, 0) + 0.5 * d))) AS mu,
+  theta - {step!r} * greatest(-2.0, least(2.0, (COALESCE(ec, 0) - c + 32.0 * theta) / (32.0 + 0.5 * COALESCE(ec, 0) + 0.5 * c))) AS theta FROM p{k} JOIN dat USING (param) LEFT JOIN e{k} USING (param))""" for k in range(steps))
+    fields = _FIELDS_SQL.split("sc AS (")[0].rstrip().rstrip(",")
+    return f"{fields}{head}{rounds} SELECT param, round(mu, 5) + 0.0 AS mu, round(theta, 5) + 0.0 AS theta FROM p{steps}"
+
+
+@register("mrf_fit_enumerated", _chain_sql(3))
+def mrf_fit_enumerated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps of the fit with exact expectations instead of samples."""
+    table, q, _ = _small(spark, sf_dir)
+    model = mrf.fit(mrf.start(spark, table, q, mrf.Params(exact=True, with_unknown=False)), 3)
+    return _parameters(spark, mu=model.mu, theta=model.theta).select("param", *[(F.round(v, 5) + F.lit(0.0)).alias(v) for v in ("mu", "theta")])
 
 
 def _fixed_model(spark: SparkSession, sf_dir: str) -> tuple[mrf.Model, DataFrame]:
     _, q, encoded = _small(spark, sf_dir)
-    i = np.arange(q.total)
-    mu, theta = ((17 * i) % 11 - 5) / 10.0, ((13 * i) % 7 - 3) / 10.0
+    mu, theta = _fixed_vectors(q)
     zero = np.zeros(q.total)
     return mrf.Model(q, mrf.Params(exact=True), zero, zero, 1.0, 0.5, mu, theta, BIAS, 0.25, zero > -1), encoded
 
@@ -526,6 +598,7 @@ _SCORED_SQL = f"WITH {RETURNS.sql()},\nscored AS (SELECT *, {_RATE.format('l_qua
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, QuerySet]:
     """Rows with two simple predictions, from the singles' tables: bounded, broadcast lookups."""
     table, q, encoded, _ = table_of(spark, sf_dir, RETURNS, "*")
+    table = stage(table, "singles")  # looked up twice
     for name, feature in (("p1", "l_quantity"), ("p2", "l_discount")):
         own = table.filter(F.col("query") == feature).select(F.col("cell").alias("__c"), ((F.col("clicks") + 1.0) / (F.col("displays") + 2.0)).alias(name))
         encoded = encoded.join(F.broadcast(own), F.col(feature) == F.col("__c")).drop("__c")
@@ -622,6 +695,23 @@ def cum_mass_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve.select(F.col("rank").cast("int").alias("rank"), "cell", F.round("observed_share", 8).alias("observed_share"), F.round("expected_share", 8).alias("expected_share"))
 
 
+_AREA_SQL = f"""{_SCORED_SQL}, t AS (SELECT l_quantity AS cell, CAST(sum(label) AS DOUBLE) AS y, sum(p2) AS p FROM scored GROUP BY ALL),
+cdf AS (SELECT cell, sum(y) OVER (ORDER BY cell) / sum(y) OVER () AS hi FROM t),
+dr AS (SELECT (CAST(CAST('0x' || substr(md5('a|' || i), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0 AS u FROM range(20000) r(i)),
+z AS (SELECT cell, count(*) AS z FROM dr ASOF JOIN cdf ON dr.u < cdf.hi GROUP BY cell),
+tz AS (SELECT t.cell, y, p, COALESCE(z, 0) AS z FROM t LEFT JOIN z USING (cell) WHERE y > 0 OR p > 0),
+cu AS (SELECT sum(y) OVER w / sum(y) OVER () AS d, sum(p) OVER w / sum(p) OVER () AS p, sum(z) OVER w / sum(z) OVER () AS z FROM tz WINDOW w AS (ORDER BY y DESC, cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT round(abs(avg(p) - avg(z)), 8) AS area, round(abs(avg(d) - avg(z)), 8) AS area_of_sampling FROM cu"""
+
+
+@register("curve_area", _AREA_SQL)
+def curve_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature's cumulative shares as predicted, against a multinomial resample of the observed ones."""
+    scored, q = _scored(spark, sf_dir)
+    table = agg.aggregate(scored, q, {"y": F.col("label").cast("double"), "p": F.col("p2")})
+    return metrics.curve_area(stage(table, "cells"), "l_quantity", "y", "p", 20_000, "a").select(*[F.round(c, 8).alias(c) for c in ("area", "area_of_sampling")])
+
+
 # ---- fits and samplers: no SQL says the same; tests hold them against enumeration ----------------------------------
 
 
@@ -699,10 +789,73 @@ def mrf_row_samples_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parameters(spark, mu=model.mu, theta=model.theta)
 
 
-@register("agglogistic_fit")
+def _logistic_sql(steps: int) -> str:
+    """The aggregate logistic by preconditioned steps; rows with the same ids count as one state."""
+    step = 1.0 / len(SMALL_QUERIES)
+    head = f"""WITH {SMALL.sql()},
+st AS MATERIALIZED (SELECT row_number() OVER () AS state, count(*) AS n, sum(label) AS y, [{', '.join(_params_sql(SMALL, SMALL_QUERIES))}] AS ps FROM enc e, sz s GROUP BY ps),
+kp AS MATERIALIZED (SELECT state, n, y, CAST(unnest(ps) AS BIGINT) AS param FROM st),
+pr AS (SELECT unnest(range(0, (SELECT {' + '.join(SMALL.cell_sql(q)[1] for q in SMALL_QUERIES)} FROM sz s))) AS param),
+dat AS MATERIALIZED (SELECT pr.param, CAST(COALESCE(sum(y), 0) AS DOUBLE) AS c FROM pr LEFT JOIN kp USING (param) GROUP BY pr.param),
+al AS (SELECT ln(sum(label) / (count(*) - sum(label))) AS b FROM enc),
+p0 AS MATERIALIZED (SELECT param, 0.0 AS theta FROM dat)"""
+    rounds = "".join(f""",
+s{k} AS MATERIALIZED (SELECT state, 1 / (1 + exp(-(sum(theta) + any_value(b)))) AS p FROM kp JOIN p{k} USING (param), al GROUP BY state),
+e{k} AS (SELECT param, sum(n * p) AS ec FROM kp JOIN s{k} USING (state) GROUP BY param),
+p{k + 1} AS MATERIALIZED (SELECT param, theta - {step!r} * greatest(-2.0, least(2.0, (COALESCE(ec, 0) - c + 32.0 * theta) / (32.0 + 0.5 * COALESCE(ec, 0) + 0.5 * c + 1e-9))) AS theta FROM p{k} JOIN dat USING (param) LEFT JOIN e{k} USING (param))""" for k in range(steps))
+    return f"{head}{rounds} SELECT param, round(theta, 6) + 0.0 AS theta FROM p{steps}"
+
+
+@register("agglogistic_fit", _logistic_sql(10))
 def agglogistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, q, encoded = _small(spark, sf_dir)
-    return _parameters(spark, theta=models.fit_aggregate_logistic(table, encoded, q, 10).theta)
+    return _parameters(spark, theta=models.fit_aggregate_logistic(table, encoded, q, 10).theta).select("param", (F.round("theta", 6) + F.lit(0.0)).alias("theta"))
+
+
+_NB_FIELD = " * ".join(f"((sum(label) OVER (PARTITION BY {n}) / c) / ((count(*) OVER (PARTITION BY {n}) - sum(label) OVER (PARTITION BY {n})) / (n - c)))" for n in SMALL_NAMES)
+
+
+@register("naive_bayes_field", f"WITH {SMALL.sql()}, al AS (SELECT count(*) AS n, sum(label) AS c FROM enc), o AS (SELECT row_key, c / (n - c) * {_NB_FIELD} AS odds FROM enc, al) SELECT row_key, round(odds / (1 + odds), 3) AS prediction FROM o")
+def naive_bayes_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive Bayes as a field without pairs: at the optimum the features are independent given the label."""
+    table, q, encoded, _ = table_of(spark, sf_dir, SMALL, "*")
+    settings = mrf.Params(display_spec="*", click_spec="*", exact=True, with_unknown=False, l2_mu=1e-6, l2_theta=1e-6)
+    model = mrf.fit_exact(mrf.start(spark, table, q, settings), 400)
+    return mrf.predict(encoded, model).select("row_key", F.round("prediction", 3).alias("prediction"))
+
+
+@register("gibbs_mixing")
+def gibbs_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far samples have moved after three sweeps, against new values dealt at random."""
+    model, _ = _fixed_model(spark, sf_dir)
+    q = model.queries
+    return sampling.mixing(sampling.independent(spark, q, {f: np.ones(q.sizes[f]) for f in q.features}, 5_000, 1, 8), model.as_field(), 3)
+
+
+@register("rao_blackwell")
+def rao_blackwell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expectations over samples with one feature of each query averaged over its law."""
+    model, _ = _fixed_model(spark, sf_dir)
+    q = model.queries
+    return sampling.rao_blackwell(sampling.independent(spark, q, {f: np.ones(q.sizes[f]) for f in q.features}, 5_000, 1, 8), model.as_field())
+
+
+@register("multinomial_logistic")
+def multinomial_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A logistic model from the tables alone, on samples chained a feature at a time."""
+    table, q, encoded = _small(spark, sf_dir)
+    model = models.fit_chained_logistic(spark, stage(table, "cells"), q, 2_000, 5)
+    return model.predict(encoded).select("row_key", "prediction")
+
+
+@register("mrf_fit_beta")
+def mrf_fit_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From Gaussian-noised tables, the noise's expectation given a beta-binomial law of the counts."""
+    table, q, _ = _small(spark, sf_dir)
+    noisy = privacy.make_private(table, q, 6.0, 1e-5, seed="t")
+    sigma = noise.gauss_sigma(6.0, 1e-5, 2 * len(q.queries))
+    model = mrf.fit(mrf.start(spark, noisy, q, mrf.Params(n_samples=5_000, noise="gauss_beta", noise_scale=sigma, with_unknown=False)), 3)
+    return _parameters(spark, mu=model.mu, theta=model.theta)
 
 
 @register("multinomial_chain")

@@ -78,13 +78,24 @@ RETURNS = Fixture(
     "concat(l_orderkey, '-', l_linenumber)",
 )
 SMALL = Fixture("lineitem", RETURNS.features[:3], RETURNS.label, RETURNS.key)
-CLICKS = Fixture("events", (("user_id", "user_id"), ("hour", "CAST(hour(ts) AS BIGINT)")), "CASE WHEN event_type = 'click' THEN 1 ELSE 0 END", "CAST(event_id AS STRING)")
+CLICKS = Fixture("events", (("user_id", "user_id"), ("k", "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"), ("hour", "CAST(hour(ts) AS BIGINT)")), "CASE WHEN event_type = 'click' THEN 1 ELSE 0 END", "CAST(event_id AS STRING)")
 ORDERS = Fixture(
     "orders JOIN customer ON o_custkey = c_custkey",
     (("c_mktsegment", "c_mktsegment"), ("c_nationkey", "c_nationkey"), ("o_orderpriority", "o_orderpriority")),
     "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END",
     "CAST(o_orderkey AS STRING)",
 )
+#: Eleven features, 66 queries.
+WIDE = Fixture(
+    "lineitem",
+    (
+        *RETURNS.features[:4],
+        *((f"{n}_mod", f"CAST({c} % {m} AS BIGINT)") for n, c, m in (("order", "l_orderkey", 5), ("part", "l_partkey", 13), ("qty", "l_quantity", 10), ("supp", "l_suppkey", 7))),
+        *((f"ship_{n}", f"CAST({n}(l_shipdate) AS BIGINT)") for n in ("day", "month", "year")),
+    ),
+    RETURNS.label,
+    RETURNS.key,
+)
 PARTS = Fixture("lineitem", (("l_partkey", "l_partkey"), ("l_suppkey", "l_suppkey")), RETURNS.label, RETURNS.key)
 
 

@@ -42,10 +42,13 @@ def bank_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 
 def census_csv(spark: SparkSession, path: str, schema: StructType | str, test: bool = False) -> DataFrame:
-    """Headerless, with blanks around the commas. The test file's first line and its labels' last dot are dropped."""
-    df = spark.read.schema(schema).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("mode", "DROPMALFORMED" if test else "PERMISSIVE").csv(path)
+    """Headerless, with blanks around the commas. The test file's first line, by its place, and its labels' last dot are
+    dropped; empty lines are no rows. What can't be read of any other line is null."""
+    ddl = schema if isinstance(schema, str) else schema.toDDL()
+    lines = numbered_lines(spark, path).filter(F.col("row") > 0) if test else spark.read.text(path)
+    options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    df = lines.filter(F.trim("value") != "").select(F.from_csv("value", ddl, options).alias("r")).select("r.*")
     last = df.columns[-1]
-    df = df.filter(F.col(last).isNotNull()) if test else df
     return df.withColumn("label", F.col(last).isin(">50K", ">50K.").cast("int")).drop(last)
 
 

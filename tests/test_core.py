@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from crosstally.functions import noise, optim
 from crosstally.operators import aggregate as agg
-from crosstally.operators import clean, dictionary, metrics, models, mrf, privacy, sampling
+from crosstally.operators import baseline_mrf, clean, dataset, dictionary, metrics, models, mrf, numbering, privacy, sampling, scoring
 from crosstally.plans.grammar import Pair, QuerySet, parse_pairs
-from crosstally.sources import datasets, store
-
+from crosstally.sources import datasets, staging, store
 
 
 def counts():
@@ -205,6 +204,8 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in datasets.bank_csv(spark, str(tmp_path / "bank.csv"), "age int, y string").collect()] == [(30, 1), (None, 0)]
     (tmp_path / "census.csv").write_text("39 , State-gov,  <=50K\n50, Private, >50K.\n")
     assert [tuple(r) for r in datasets.census_csv(spark, str(tmp_path / "census.csv"), "age int, w string, inc string").collect()] == [(39, "State-gov", 0), (50, "Private", 1)]
+    (tmp_path / "test.csv").write_text("|1x3 Cross validator\n39, State-gov, <=50K.\n\nforty, Private, >50K.\n")
+    assert sorted(map(tuple, datasets.census_csv(spark, str(tmp_path / "test.csv"), "age int, w string, inc string", test=True).collect()), key=str) == [(39, "State-gov", 0), (None, "Private", 1)]
     (tmp_path / "x.txt").write_text("p\nq\nr\n")
     x = datasets.numbered_lines(spark, str(tmp_path / "x.txt"))
     y = datasets.numbered_lines(spark, str(tmp_path / "x.txt")).withColumnsRenamed({"row": "n", "value": "other"})
@@ -219,3 +220,239 @@ def test_registered_queries_run(spark, sf_dir):
     assert set(entry.oracle_sql()) <= set(names)
     for name in ("agg_hashed_pair", "ctr_buckets", "stream_aggregate", "mrf_fit", "random_projection"):
         assert names[name](spark, sf_dir).count() > 0
+
+
+def scans(df) -> int:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan parquet")
+
+
+def test_source_is_scanned_once(spark, sf_dir):
+    from crosstally.plans import catalogue
+
+    for name in ("agg_all_pairs", "nb_predict", "agg_l1"):
+        df = catalogue.queries()[name](spark, sf_dir)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert 1 <= sum("lineitem.parquet" in line for line in plan.split("\n") if "FileScan" in line) <= 2, name
+
+
+def test_dictionaries_by_ranges_are_the_same(spark, monkeypatch):
+    rows = spark.createDataFrame([(float(k % 7) - 3, f"s{k % 11}", None if k % 3 else k) for k in range(200)] + [(float("nan"), None, None), (float("inf"), "é", 5)], "v double, s string, n int")
+    here = dictionary.fit(rows, ["v", "s", "n"])
+    monkeypatch.setattr(dictionary, "MAX_LOCAL", 0)
+    ranged = dictionary.fit(rows, ["v", "s", "n"])
+    assert sorted(map(tuple, here.table.collect())) == sorted(map(tuple, ranged.table.collect())) and here.sizes == ranged.sizes
+    assert here.sizes["v"] == 10 and max(r["id"] for r in here.of("v").collect()) == 8
+    assert [r["value"] for r in here.of("v").orderBy("id").collect()][:2] == [-3.0, -2.0]
+
+
+def test_number_rows(spark):
+    df = spark.createDataFrame([(k * 7919 % 1000, "x") for k in range(1000)] + [(None, "y")], "k int, _salt string")
+    numbered, n = numbering.number_rows(df, [F.col("k")], "at")
+    got = sorted((r["at"], r["k"]) for r in numbered.collect())
+    assert n == 1001 and got == [(0, None), *[(k + 1, k) for k in range(1000)]] and numbered.columns == ["k", "_salt", "at"]
+    empty, none = numbering.number_rows(df.limit(0), [F.col("k")], "at")
+    assert none == 0 and empty.count() == 0
+
+
+def test_rate_buckets_against_a_plain_count(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(v), int(rng.random() < 0.1 + v / 200)) for v in rng.zipf(1.5, 4000) % 80]
+    got = {r["value"]: r for r in dictionary.rate_buckets(spark.createDataFrame(rows, "v int, y int"), "v", F.col("y")).collect()}
+    d, c = {}, {}
+    for v, y in rows:
+        d[v], c[v] = d.get(v, 0) + 1, c.get(v, 0) + y
+    prior, edges, e = sum(c.values()) / len(rows), [], 2.0
+    while e < max(c.values()) * 10:
+        edges.append(e)
+        e += e**0.5 + 1
+    place = {v: (10 ** len(str(d[v])), sum(x <= (c[v] + prior) / (d[v] + 1) * 10 ** len(str(d[v])) for x in edges)) for v in d}
+    ids = {p: k for k, p in enumerate(sorted(set(place.values())))}
+    assert {v: (r["rounded"], r["bucket"], r["id"]) for v, r in got.items()} == {v: (*p, ids[p]) for v, p in place.items()}
+
+
+def test_from_rows(spark, rows, small):
+    want = cells(small[0])
+    data = dataset.from_rows(rows, ["a", "b", "c"], others={"ids": F.col("id").cast("long")})
+    assert {k: v[:2] for k, v in cells(data.table).items()} == want and data.law is None
+    assert data.totals().first()["displays"] == 600 and data.of("a&b").agg(F.sum("displays")).first()[0] == 600
+    with pytest.raises(KeyError):
+        data.of("a&z")
+    few = dataset.from_rows(rows, ["a", "b", "c"], "b&*", caps={"a&b": 5})
+    assert few.queries.names == ["a", "b", "c", "a&b", "b&c"] and few.queries.named("a&b").hashed
+    noisy = dataset.from_rows(rows, ["a", "b", "c"], epsilon=5.0, delta=1e-5, clip=True, seed="t")
+    assert noisy.law["law"] == "gauss" and noisy.table.count() == noisy.queries.total and noisy.table.agg(F.min("clicks")).first()[0] >= 0
+    assert dataset.from_rows(rows.limit(0), ["a"]).table.count() == 0
+
+
+def test_sixty_five_queries_by_grouping_sets(spark):
+    names = [f"f{k}" for k in range(11)]
+    df = spark.createDataFrame([tuple((j * (k + 3)) % (k % 3 + 2) for k in range(11)) + (j % 2,) for j in range(50)], ", ".join(f"{n} int" for n in names) + ", label int")
+    data = dataset.from_rows(df, names)
+    assert len(data.queries.queries) == 66
+    assert cells(agg.aggregate_sets(data.encode(df), data.queries, counts())) == cells(data.table)
+
+
+def test_outer_product_and_imports(spark, small):
+    table, q, _, known = small
+    product = agg.outer_product(table, q.named("a&b"), "displays")
+    assert product.agg(F.sum("product")).first()[0] == 600 * 600
+    published = spark.createDataFrame([(0, "x", 5, 1), (1, "y", 7, 2), (9, "z", 1, 1)], "feature_1_id int, feature_1_value string, count long, nb_clicks long")
+    assert sorted(map(tuple, agg.import_singles(published, {0: "a", 1: "b"}).collect())) == [("a", "x", 5, 1), ("b", "y", 7, 2)]
+
+
+def test_table_score_is_vector_score(spark, small):
+    _, q, encoded, _ = small
+    w = np.linspace(-1, 1, q.total)
+    scored = encoded.withColumn("k", scoring.row_params(q)).withColumn("s", scoring.vector_score(F.col("k"), w))
+    table = spark.createDataFrame([(k, float(v)) for k, v in enumerate(w)], "param long, value double")
+    other = {r["id"]: r["score"] for r in scoring.table_score(scored, "id", "k", table).collect()}
+    assert all(abs(other[r["id"]] - r["s"]) < 1e-9 for r in scored.select("id", "s").collect())
+
+
+def exact_model(spark, small, **settings):
+    table, q, *_ = small
+    return mrf.start(spark, table, q, mrf.Params(with_unknown=False, l2_mu=1.0, l2_theta=1.0, **settings))
+
+
+def test_fit_approaches_the_exact_optimum(spark, small):
+    """Contrastive divergence, and the same steps on enumerated expectations, end near where L-BFGS ends."""
+    best = mrf.log_likelihood(mrf.fit_exact(exact_model(spark, small, exact=True), 60))
+    start = mrf.log_likelihood(exact_model(spark, small, exact=True))
+    step = lambda n: mrf.log_likelihood(mrf.fit(exact_model(spark, small, exact=True), n))
+    by_samples = mrf.log_likelihood(mrf.fit(exact_model(spark, small, n_samples=4000, parts=2), 12))
+    assert best - step(400) < 0.02 * (best - start) and abs(by_samples - step(12)) < 0.1 * (best - start)
+
+
+def test_enumeration_is_refused_on_large_domains(spark):
+    q = QuerySet.build({f"f{k}": 50 for k in range(6)}, "*")
+    zero = np.zeros(q.total)
+    model = mrf.Model(q, mrf.Params(exact=True), zero, zero, 1.0, 0.5, zero, zero, 0.0, 0.0, zero > -1)
+    for call in (mrf.exact_numpy, mrf.log_likelihood, lambda m: mrf.states(spark, m.queries)):
+        with pytest.raises(ValueError):
+            call(model)
+
+
+def test_averaged_expectations_and_mixing(spark, small):
+    model = mrf.fit_exact(exact_model(spark, small, exact=True), 30)
+    d, c = mrf.exact_numpy(model)
+    own, q = model.as_field(), model.queries
+    samples = sampling.independent(spark, q, {f: np.ones(own.choices(f)) for f in q.features}, 3000, 2, 2)
+    for k in range(4):
+        samples = sampling.sweep(samples, own, 3, k)
+    samples = staging.stage(samples, "mixed")
+    e, y = mrf.share(sampling.rao_blackwell(samples, own), model)
+    assert np.abs(e / model.n - d / model.n).max() < 0.02 and np.abs(y / model.n - c / model.n).max() < 0.02
+    got = {r["feature"]: r for r in sampling.mixing(samples, own, 4).collect()}
+    assert set(got) == set(q.features) and all(abs(r["agreements"] - r["expected"]) < 0.05 * 3000 for r in got.values())
+    same = sampling.mixing(samples, own, 0).collect()
+    assert all(r["agreements"] == 3000 for r in same)
+    x = sampling.to_driver(samples, 10)
+    assert x.shape == (10, 3) and x[0].tolist() == samples.filter("sample_id = 0").first()["x"]
+    y = sampling.label_draw(own, sampling.to_driver(samples), np.arange(3000), 5)
+    assert abs(y.mean() - (1 / (1 + np.exp(-own.sums(sampling.to_driver(samples))[1]))).mean()) < 0.03
+
+
+def test_block_step_moves_one_query_downhill(spark, small):
+    model = exact_model(spark, small, exact=True)
+    for clicks in (False, True):
+        moved = mrf.block_step(model, "a&b", clicks, alpha=1.0, curvature=1.0)
+        name, at = ("theta" if clicks else "mu"), model.queries.offsets["a&b"]
+        changed = np.flatnonzero(getattr(moved, name) != getattr(model, name))
+        assert changed.min() >= at and changed.max() < at + model.queries.named("a&b").size
+        assert mrf.log_likelihood(moved) > mrf.log_likelihood(model)
+
+
+def test_noise_laws_in_the_fit(spark, small):
+    table, q, *_ = small
+    sigma = noise.gauss_sigma(20.0, 1e-5, 12)
+    noisy = staging.stage(privacy.make_private(table, q, 20.0, 1e-5, seed="t"), "noisy")
+    for law in ("gauss", "gauss_beta"):
+        model = mrf.start(spark, noisy, q, mrf.Params(exact=True, with_unknown=False, noise=law, noise_scale=sigma, n_samples=5000))
+        d, c = mrf.exact_numpy(model)
+        nd, _ = mrf.noise_part(model, d, c)
+        true = np.zeros(q.total)
+        for (name, cell), v in cells(table).items():
+            true[q.offsets[name] + cell] = v[0]
+        raw = scoring.scatter(noisy, q, "displays")
+        assert np.square(raw - nd - true).mean() < 1.1 * np.square(raw - true).mean()
+    assert noise.classic_gauss_sigma(1.0, 1e-5, 4) > noise.gauss_sigma(1.0, 1e-5, 4)
+    a, trials, observed = np.array([30.0]), np.array([1000.0]), np.array([45.0])
+    n = np.arange(0, 1001)
+    from math import lgamma
+
+    logs = np.array([lgamma(k + 300) + lgamma(1000 - k + 9700) - lgamma(k + 1) - lgamma(1001 - k) for k in n]) - np.square(45.0 - n) / 2 / 36
+    assert abs(noise.expected_gauss_beta_np(observed, trials, a * 10, 10000 - a * 10, 6.0)[0] - (45.0 - n[np.argmax(logs)])) < 1.0
+
+
+def test_noise_log_probability_prefers_the_right_scale(spark, small):
+    values = {}
+    for scale in (0.5, 30.0, 3000.0):
+        model = exact_model(spark, small, n_samples=2000, parts=2, noise="gauss", noise_scale=scale)
+        values[scale] = mrf.noise_log_probability(model)
+    assert values[30.0] > values[0.5] and values[30.0] > values[3000.0]
+
+
+def test_curve_area(spark):
+    rows = [("q", k, float(100 - k), float(100 - k)) for k in range(50)] + [("q", 50, 0.0, 0.0), ("other", 0, 1.0, 1.0)]
+    table = spark.createDataFrame(rows, "query string, cell int, y double, p double")
+    alike = metrics.curve_area(table, "q", "y", "p", 20_000).first()
+    assert abs(alike["area"] - alike["area_of_sampling"]) < 1e-12 and alike["area"] < 0.01
+    flat = metrics.curve_area(table.withColumn("p", F.lit(1.0)), "q", "y", "p", 20_000).first()
+    assert flat["area"] > 5 * flat["area_of_sampling"]
+    drawn = metrics.resample(table, "q", "y", 20_000, "s").collect()
+    assert sum(r["resampled"] for r in drawn) == 20_000 and all(abs(r["resampled"] - 20_000 * r["y"] / 3775) < 6 * (20_000 * r["y"] / 3775 + 1) ** 0.5 for r in drawn)
+
+
+def test_chained_logistic_resumes(spark, small, tmp_path):
+    table, q, encoded, _ = small
+    model = models.fit_chained_logistic(spark, table, q, 1500, 15, path=f"{tmp_path}/chain")
+    again = models.chained_samples(spark, table.limit(0), q, 1500, 5, path=f"{tmp_path}/chain")  # nothing left to fit
+    assert again.count() == 1500 and len(again.first()["x"]) == 3
+    scored = model.predict(encoded)
+    assert metrics.auc(scored, "label", "prediction").first()["auc"] > 0.6
+    store.save_logistic(spark, f"{tmp_path}/l", model)
+    back = store.load_logistic(spark, f"{tmp_path}/l")
+    assert np.array_equal(back.theta, model.theta) and back.bias == model.bias and back.queries.names == q.names
+
+
+def test_baseline_variants_approach_the_tables(spark, small):
+    table, q, encoded, _ = small
+    base = np.zeros(q.total)
+    with_p = agg.aggregate(encoded.withColumn("p0", F.lit(0.5)), q, counts() | {"p0": F.col("p0")})
+    start = mrf.start(spark, with_p, q, mrf.Params(n_samples=2000, parts=2, l2_mu=1.0, l2_theta=1.0))
+    model, field = baseline_mrf.fit_with_baseline(start, with_p, base, 0.0, 6)
+    gap = lambda m: np.abs(mrf.predicted(m)[1] - m.clicks).mean()
+    assert gap(mrf.replace(start, theta=model.theta, mu=model.mu)) < gap(start) and np.isfinite(field.nu).all()
+    rows = baseline_mrf.with_row_samples(mrf.start(spark, table, q, mrf.Params(n_samples=10, l2_mu=1.0, l2_theta=1.0)), encoded, "id")
+    fitted = baseline_mrf.fit_on_rows(rows, 5)
+    assert gap(mrf.replace(fitted, samples=rows.samples)) < gap(rows)
+
+
+def test_small_helpers(spark, rows, tmp_path):
+    assert clean.numeric_columns(rows) == ["a", "b", "c", "label", "id"] and clean.with_ones(rows, "c1").first()["c1"] == 1
+    assert [r["id"] for r in datasets.first_rows(rows, 3, "id").collect()] == [0, 1, 2]
+    rows.write.parquet(f"{tmp_path}/t")
+    assert datasets.Dataset(f"{tmp_path}/t", ("a", "b"), "label").read(spark).columns == ["a", "b", "label"]
+    (tmp_path / "t.csv").write_text("a,b,label\n1,2,0\n")
+    assert [tuple(r) for r in datasets.Dataset(f"{tmp_path}/t.csv", ("b",), "label", "csv").read(spark, "a int, b int, label int").collect()] == [(2, 0)]
+    x = datasets.sample_matrix(spark, np.arange(12).reshape(6, 2), 2)
+    assert x.count() == 6 and sampling.to_driver(x).tolist() == np.arange(12).reshape(6, 2).tolist()
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = staticmethod(lambda: {})  # noqa: RUF012
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        staging.shared_dir(Session())
+    staged = staging.stage(spark.range(3), "x")
+    staging.discard(staged, spark.range(1), None)
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        staged.count()
