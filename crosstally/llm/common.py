@@ -1,13 +1,14 @@
-"""Helpers shared by the operators: reading, global row numbers, bounded broadcasts, free column names."""
+"""Helpers shared by the operators."""
 
 from __future__ import annotations
 
 from math import sqrt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstally.sources.staging import stage
+from crosstally.operators.numbering import bounded_broadcast, free_name, number_rows
+from crosstally.sources.staging import discard, stage
 
 #: The words of the contracts: what lies between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,13 +18,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["WORD", "bounded_broadcast", "free_name", "least_hashed", "number_rows", "partitions_for", "read", "stage"]
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint where a count proves that ``df`` has at most ``max_rows`` rows; else ``df`` as it is, for a
-    shuffled join."""
-    return F.broadcast(df) if df.count() <= max_rows else df  # a limit would first gather max_rows rows of every task
+__all__ = ["WORD", "bounded_broadcast", "discard", "free_name", "least_hashed", "number_rows", "partitions_for", "read", "stage"]
 
 
 def least_hashed(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
@@ -42,51 +37,3 @@ def least_hashed(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
 
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    name, k = stem, 0
-    while name.lower() in taken:
-        k += 1
-        name = f"{stem}_{k}"
-    return name
-
-
-def number_rows(df: DataFrame, order: list[Column], into: str) -> tuple[DataFrame, int]:
-    """Global row numbers 0..n-1 along ``order``, without a window over all rows.
-
-    One range exchange deals the rows by ``order``; each task sorts its range; the sorted rows are staged with the
-    (partition, position) that Spark's id function gives them, and the ranges' sizes (one row a range) become offsets.
-    A last, random sort key splits rows that tie on the whole of ``order`` over several ranges, so no tie is ever one
-    task's work; which of the tied rows gets which number is then open, so ``order`` should name all that matters.
-    Returns the staged frame with column ``into``, and n.
-    """
-    mid, salt = free_name(df, "_mid"), free_name(df, "_salt")
-    keys = [free_name(df, f"_key{i}") for i in range(len(order))]
-    keyed = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)], F.rand(7).alias(salt))
-    by = [F.col(k).asc_nulls_first() for k in keys] + [F.col(salt)]
-    placed = (
-        keyed.repartitionByRange(*by)
-        .sortWithinPartitions(*by)
-        .drop(*keys, salt)
-        .withColumn(mid, F.monotonically_increasing_id())
-    )
-    placed = stage(placed, "numbered")
-    part = F.shiftright(F.col(mid), 33)
-    sizes = [(r[0], r[1]) for r in placed.groupBy(part.alias("p")).count().orderBy("p").collect()]  # a row a range
-    offsets, n = [], 0
-    for p, size in sizes:
-        offsets.append((p, n))
-        n += size
-    spark = df.sparkSession
-    at, off = free_name(df, "_part"), free_name(df, "_offset")
-    table = spark.createDataFrame(offsets, f"{at} long, {off} long")
-    numbered = (
-        placed.withColumn(at, part)
-        .join(F.broadcast(table), at)
-        .withColumn(into, F.col(off) + F.col(mid).bitwiseAND((1 << 33) - 1))
-        .drop(at, off, mid)
-    )
-    return numbered, n
