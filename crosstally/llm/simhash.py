@@ -7,6 +7,13 @@ the perfect binary Golay code: every pattern is within covering radius 3 of exac
 neighbour 1 bit away lies within 3 + 1 of that home. A fingerprint is therefore replicated to every anchor within 4
 (5.3 of them on average) and compared there with the fingerprints at home. For the third block, with threshold 0, all
 patterns are anchors (radius 0). Every anchor compares its homes with its replicas only, on all 64 bits.
+
+There are some 270,000 anchors, so beyond as many fingerprints anchors fill up. One that holds more than a task should
+compare is covered again by a product code: its members go on to anchors of a second block, once more within radius plus
+threshold. Of a pair that is 1 bit apart in a 23-bit block, at most 4 bits of the rest differ: 2 in the other 23-bit
+block, or else 1 in the block of 18, whose halves of 9 bits then have an equal one. Of a pair that agrees in the block
+of 18, one 23-bit block differs by at most 2 bits or the other by at most 1. That replicates a row to 24 to 27 places
+once, however full the anchor is; only anchors of both blocks that are still too full are compared by pairs of parts.
 """
 
 from __future__ import annotations
@@ -28,6 +35,8 @@ SHINGLE = 4
 THRESHOLD = 4
 #: Homes and replicas that one task compares at once; an anchor with more is dealt over several tasks.
 CHUNK = 4096
+#: An anchor with more parts than this is covered by a second block instead, which replicates a row some 25 times.
+MAX_PARTS = 16
 #: Hashes of dropped rows that are broadcast; more of them are joined by a shuffle.
 MAX_GONE = 4_000_000
 
@@ -71,16 +80,20 @@ class Golay:
         for k in range(12):  # all sums of the generator polynomial's shifts
             words = np.concatenate([words, words ^ (self.GENERATOR << k)])
         self.words = np.sort(words)
-        #: word of each syndrome's leader, to find homes; and the cosets' members of weight up to 4, to find replicas.
+        #: word of each syndrome's leader, to find homes; and the cosets' members of weight up to 4 or 5, for replicas.
         flips = [0] + [1 << a for a in range(23)] + [1 << a | 1 << b for a in range(23) for b in range(a)] + [1 << a | 1 << b | 1 << c for a in range(23) for b in range(a) for c in range(b)]
         self.leader = np.zeros(2048, np.int64)
         light = np.array(flips, np.int64)
         self.leader[self.syndrome(light)] = light
         fours = np.array([1 << a | 1 << b | 1 << c | 1 << d for a in range(23) for b in range(a) for c in range(b) for d in range(c)], np.int64)
         every = np.concatenate([light, fours])
-        order = np.argsort(self.syndrome(every), kind="stable")
-        self.near = every[order]
-        self.first = np.searchsorted(self.syndrome(every)[order], np.arange(2049))
+        fives = np.array([f | 1 << e for f in fours.tolist() for e in range((f & -f).bit_length() - 1)], np.int64)
+        self.cosets = {weight: self._by_syndrome(x) for weight, x in ((4, every), (5, np.concatenate([every, fives])))}
+
+    def _by_syndrome(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = self.syndrome(x)
+        order = np.argsort(s, kind="stable")
+        return x[order], np.searchsorted(s[order], np.arange(2049))
 
     def syndrome(self, x: np.ndarray) -> np.ndarray:
         """The remainder of the polynomial x by the generator: 11 bits, 0 for code words."""
@@ -92,13 +105,13 @@ class Golay:
     def home(self, x: np.ndarray) -> np.ndarray:
         return x ^ self.leader[self.syndrome(x)]
 
-    def within_four(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (index into x, anchor) of all anchors within 4 of each x."""
-        s = self.syndrome(x)
-        counts = self.first[s + 1] - self.first[s]
+    def within(self, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (index into x, anchor) of all anchors within 4 or 5 of each x."""
+        s, (near, first) = self.syndrome(x), self.cosets[radius]
+        counts = first[s + 1] - first[s]
         who = np.repeat(np.arange(len(x)), counts)
         nth = np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts)
-        return who, x[who] ^ self.near[self.first[s][who] + nth]
+        return who, x[who] ^ near[first[s][who] + nth]
 
 
 _GOLAY: list[Golay] = []
@@ -110,22 +123,26 @@ def golay() -> Golay:
     return _GOLAY[0]
 
 
+SHIFTS, BITS = (0, 23, 46), (23, 23, 18)
+
+
+def block(bits: np.ndarray, k: int) -> np.ndarray:
+    return ((bits >> np.uint64(SHIFTS[k])) & np.uint64((1 << BITS[k]) - 1)).astype(np.int64)
+
+
+def cover(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, index into x, is home) in a 23-bit block."""
+    own = golay().home(x)
+    who, anchor = golay().within(x, radius)
+    return anchor, who, anchor == own[who]
+
+
 def assignments(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, index into fps, is home) of all three blocks; an anchor's number also says its block."""
-    code, bits = golay(), fps.view(np.uint64)
-    anchors, who, home = [], [], []
-    for block, shift in ((0, 0), (1, 23)):
-        x = ((bits >> np.uint64(shift)) & np.uint64((1 << 23) - 1)).astype(np.int64)
-        own = code.home(x)
-        i, a = code.within_four(x)
-        anchors.append(a + (block << 23))
-        who.append(i)
-        home.append(a == own[i])
-    x = (bits >> np.uint64(46)).astype(np.int64)
-    anchors.append(x + (2 << 23))
-    who.append(np.arange(len(x)))
-    home.append(np.ones(len(x), bool))
-    return np.concatenate(anchors), np.concatenate(who), np.concatenate(home)
+    bits = fps.view(np.uint64)
+    found = [cover(block(bits, k), 4) for k in (0, 1)]
+    found.append((block(bits, 2), np.arange(len(bits)), np.ones(len(bits), bool)))
+    return np.concatenate([a + (k << 23) for k, (a, _, _) in enumerate(found)]), np.concatenate([w for _, w, _ in found]), np.concatenate([h for _, _, h in found])
 
 
 def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +150,35 @@ def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 1 << 16):
             fps = batch.column(0).to_numpy(zero_copy_only=False)[at : at + (1 << 16)]
             anchor, who, home = assignments(fps)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fps[who]), pa.array(home)], names=["anchor", "fp", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fps[who]), pa.array(home)], names=["anchor", "fp", "home"])
+
+
+def second_anchors(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor of both blocks, index, is home) for rows of full anchors. Its number says the first anchor (25 bits), the
+    second block's table (2 bits) and the second anchor (23 bits)."""
+    bits, found = fps.view(np.uint64), []
+    for first in range(3):
+        rows = np.flatnonzero(anchor >> 23 == first)
+        if not len(rows):
+            continue
+        x = bits[rows]
+        if first < 2:
+            tables = [cover(block(x, 1 - first), 5)]
+            for half in (0, 9):
+                tables.append(((block(x, 2) >> half) & 511, np.arange(len(x)), np.ones(len(x), bool)))
+        else:
+            tables = [cover(block(x, 0), 5), cover(block(x, 1), 4)]
+        for t, (second, who, own) in enumerate(tables):
+            found.append(((anchor[rows[who]] << 25) | (t << 23) | second, rows[who], own & home[rows[who]]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+
+
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1 << 14):
+            anchor, fps, home = (batch.column(c).to_numpy(zero_copy_only=False)[at : at + (1 << 14)] for c in range(3))
+            both, who, own = second_anchors(anchor, fps, home)
+            yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(fps[who]), pa.array(own.astype(bool))], names=["anchor", "fp", "home"])
 
 
 def links(home: np.ndarray, other: np.ndarray, threshold: int = THRESHOLD) -> tuple[list[int], list[int]]:
@@ -193,19 +238,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from groups(kept)
 
 
-def near_links(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Links (src, dst) between the distinct fingerprints (column fp): per anchor a spanning forest of all pairs at
-    most THRESHOLD bits apart, so that the connected components are those of all links.
+def dealt(distinct: DataFrame) -> DataFrame:
+    """Rows (key, fp, home) to compare by key, of the distinct fingerprints (column fp): home 1 with home 0, or with the
+    whole key where that has none.
 
-    An anchor whose homes or replicas exceed CHUNK is split: both sides are dealt by hash into parts, and each pair of
-    parts is a group of its own.
+    An anchor of more than CHUNK * MAX_PARTS rows is covered again by a second block. What still exceeds CHUNK is split:
+    both sides are dealt by hash into parts, and each pair of parts is a group of its own.
     """
-    spark = distinct.sparkSession
-    partitions = partitions or partitions_for(spark)
-    placed = stage(distinct.select("fp").mapInArrow(_assign, "anchor int, fp long, home boolean"), "anchors")
-    # Crowded anchors only, and there are 2 * 4096 + 2 ** 18 anchors in all: a bounded table, so it is broadcast.
-    crowded = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK).select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
-    parted = placed.join(F.broadcast(crowded), "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = stage(distinct.select("fp").mapInArrow(_assign, "anchor long, fp long, home boolean"), "anchors")
+    # There are 2 * 4096 + 2 ** 18 anchors of one block in all: a bounded table, so it is broadcast.
+    sizes = stage(placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK), "sizes")
+    full = sizes.filter(F.col("n") > CHUNK * MAX_PARTS).select("anchor")
+    if full.count():
+        refined = stage(placed.join(F.broadcast(full), "anchor", "left_semi").mapInArrow(_refine, "anchor long, fp long, home boolean"), "refined")
+        placed = placed.join(F.broadcast(full), "anchor", "left_anti").unionByName(refined)
+        again = refined.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK)
+        sizes = stage(sizes.filter(F.col("n") <= CHUNK * MAX_PARTS).unionByName(again), "sizes")
+    crowded = bounded_broadcast(sizes.select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), MAX_GONE)
+    parted = placed.join(crowded, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     # A home is also a replica: it takes part in its own anchor on both sides.
     as_home = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct((mine * F.col("parts") + j).alias("cell"), F.lit(1).alias("home")))
@@ -213,25 +263,32 @@ def near_links(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
     roles = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("cell"), F.when(F.col("home"), 1).otherwise(2).alias("home")))).otherwise(
         F.when(F.col("home"), F.concat(as_home, as_other)).otherwise(as_other)
     )
-    dealt = parted.select("anchor", "fp", F.explode(roles).alias("role")).select(
-        F.xxhash64("anchor", "role.cell").alias("key"), F.col("fp"), F.col("role.home").cast("int").alias("home")
-    )
-    return dealt.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_compare, "src long, dst long")
+    return parted.select("anchor", "fp", F.explode(roles).alias("role")).select(F.xxhash64("anchor", "role.cell").alias("key"), "fp", F.col("role.home").cast("int").alias("home"))
+
+
+def near_links(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Links (src, dst) between the distinct fingerprints (column fp): per anchor a spanning forest of all pairs at
+    most THRESHOLD bits apart, so that the connected components are those of all links."""
+    partitions = partitions or partitions_for(distinct.sparkSession)
+    return dealt(distinct).repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_compare, "src long, dst long")
 
 
 def group_by_fingerprint(prints: DataFrame) -> DataFrame:
     """From rows (key, fp), staged: (fp, component_id, members): component_id is the smallest key reachable over
-    links, members counts the rows of the whole component."""
+    links, members counts the rows of the whole component. Fingerprints without a link are not joined by component."""
     distinct = stage(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     joined = components(near_links(distinct))
-    labelled = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    per_root = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))
-    return labelled.select("fp", "root").join(per_root, "root").select("fp", "component_id", "members")
+    labelled = stage(distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "least", "n", "root"), "labelled")
+    linked = labelled.filter("root IS NOT NULL")
+    per_root = stage(linked.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"), F.sum("n").alias("members")), "per-root")
+    together = linked.join(bounded_broadcast(per_root, MAX_GONE), F.col("root") == F.col("_root")).select("fp", "component_id", "members")
+    return together.unionByName(labelled.filter("root IS NULL").select("fp", F.col("least").alias("component_id"), F.col("n").alias("members")))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document. A null doc_id takes part, but is no component's smallest id unless
-    the component has no other. Repeated rows give repeated rows."""
+    the component has no other. Repeated rows give repeated rows; null and empty texts have fingerprint zero, linked like
+    any other; an empty table gives no row."""
     prints = stage(fingerprints(read(spark, sf_dir, "documents"), "doc_id"), "fingerprints")
     groups = group_by_fingerprint(prints)
     return prints.join(groups, "fp").select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
