@@ -2,8 +2,8 @@
 
 MinHash bands (BANDS of ROWS minima each) put texts into buckets; a pair of similarity 0.8 misses all of them with a
 chance of (1 - 0.8 ** 3) ** 16, about 0.00001. Whatever meets in a bucket is compared on the shingles themselves, all
-pairs of it, so no link is wrong. Buckets whose texts are linked already, and all but one of the buckets with the same
-texts, are passed over.
+pairs of it that aren't linked already, so no link is wrong. Buckets whose texts are linked already, and all but one of
+the buckets with the same texts, are passed over.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosstally.llm.common import bounded_broadcast, partitions_for, stage
+from crosstally.llm.components import components
 
 WIDTH = 5
 PERCENT = 80
@@ -137,20 +138,66 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from groups(kept)
 
 
+def dealt(members: DataFrame) -> DataFrame:
+    """Rows (key, node, side, shingles) to compare by key, from rows (bucket, t, node, shingles, joint, few, many).
+
+    The rows of a bucket that are not ``joint`` are dealt over ``few`` parts and compared part by part, all pairs. The
+    joint ones are linked with each other already: they are dealt over ``many`` parts and only compared with the others.
+    """
+    few, many = F.pmod(F.xxhash64("t"), F.col("few")).cast("int"), F.pmod(F.xxhash64("t"), F.greatest("many", F.lit(1))).cast("int")
+    cell = lambda kind, low, high, side: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"), side.alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    pairs = F.transform(upto(F.col("few")), lambda j: cell(0, F.least(few, j), F.greatest(few, j), F.when(few == j, 0).when(few < j, 1).otherwise(2)))
+    against = F.when(F.col("many") > 0, F.transform(upto(F.col("many")), lambda j: cell(1, few, j, F.lit(1)))).otherwise(F.filter(pairs, lambda _: F.lit(False)))
+    own = F.when(F.col("joint"), F.transform(upto(F.col("few")), lambda i: cell(1, i, many, F.lit(2)))).otherwise(F.concat(pairs, against))
+    return members.select("bucket", "node", "shingles", F.explode(own).alias("cell")).select(F.xxhash64("bucket", "cell.kind", "cell.low", "cell.high").alias("key"), "node", F.col("cell.side").alias("side"), "shingles")
+
+
+def compare(members: DataFrame) -> DataFrame:
+    return dealt(members).repartition(partitions_for(members.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_compare, "src long, dst long")
+
+
+def open_buckets(placed: DataFrame) -> DataFrame:
+    """(bucket, n, low) of the buckets with texts that aren't linked yet; of buckets with the same texts, one. ``low`` is
+    the least hash of a text."""
+    # Two buckets with the same number, exclusive or, least and greatest hash have the same texts.
+    seen = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("t").alias("x"), F.min("t").alias("low"), F.max("t").alias("high"), F.min("node").alias("a"), F.max("node").alias("b"))
+    return seen.filter("a <> b").groupBy("n", "x", "low", "high").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "low")
+
+
+def shingle_sets(texts: DataFrame, placed: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(t, shingles) of the texts in some buckets."""
+    wanted = placed.join(bounded_broadcast(buckets.select("bucket"), MAX_ROWS), "bucket", "left_semi").select("t").distinct()
+    return texts.join(bounded_broadcast(stage(wanted, "wanted"), MAX_ROWS), "t", "left_semi").dropDuplicates(["t"]).select("t", "text").mapInArrow(_sets, "t long, shingles binary")
+
+
 def similar_links(texts: DataFrame, placed: DataFrame) -> DataFrame:
     """Links (src, dst) between the nodes of similar texts, so that the connected components of the nodes are those of
-    all pairs found. ``texts`` are rows (t, text), t a hash of the text; ``placed`` rows (t, node, buckets)."""
+    all pairs found. ``texts`` are rows (t, text), t a hash of the text; ``placed`` rows (t, node, buckets).
+
+    A bucket of more than CHUNK texts is mostly one large group of copies. Its texts are first compared with one of
+    them, which links such a group by as many comparisons as it has texts; then those of its largest node only meet
+    the rest of the bucket.
+    """
     placed = stage(placed.select(F.explode("buckets").alias("bucket"), "t", "node").distinct(), "buckets")
-    # Two buckets with the same number, exclusive or, least and greatest hash have the same texts.
-    seen = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("t").alias("x"), F.min("t").alias("low"), F.max("t").alias("high"), F.min("node").alias("a"), F.max("node").alias("b"))
-    open_ = seen.filter("a <> b").groupBy("n", "x", "low", "high").agg(F.min("bucket").alias("bucket"))
-    open_ = stage(open_.select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "open-buckets")
-    members = stage(placed.join(bounded_broadcast(open_, MAX_ROWS), "bucket"), "members")
-    wanted = bounded_broadcast(members.select("t").distinct(), MAX_ROWS)
-    sets = texts.join(wanted, "t", "left_semi").dropDuplicates(["t"]).select("t", "text").mapInArrow(_sets, "t long, shingles binary")
-    mine = F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(mine, j).alias("low"), F.greatest(mine, j).alias("high"), F.when(mine == j, 0).when(mine < j, 1).otherwise(2).alias("side")))
-    dealt = members.join(sets, "t").select("bucket", "node", "shingles", F.explode(cells).alias("cell")).select(
-        F.xxhash64("bucket", "cell.low", "cell.high").alias("key"), "node", F.col("cell.side").alias("side"), "shingles"
-    )
-    return dealt.repartition(partitions_for(texts.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_compare, "src long, dst long")
+    crowded = stage(open_buckets(placed).filter(F.col("n") > CHUNK), "crowded")
+    first = None
+    if crowded.count():
+        sets = shingle_sets(texts, placed, crowded)
+        parts = F.ceil(F.col("n") / CHUNK).cast("int")
+        side = bounded_broadcast(crowded.select("bucket", "low", F.lit(1).alias("few"), parts.alias("many")), MAX_ROWS)
+        members = placed.join(side, "bucket").join(sets, "t").withColumn("joint", F.col("t") != F.col("low"))
+        first = stage(compare(members), "first-links")
+        roots = bounded_broadcast(components(first).withColumnRenamed("node", "_node"), MAX_ROWS)
+        placed = stage(placed.join(roots, F.col("node") == F.col("_node"), "left").select("bucket", "t", F.coalesce("root", "node").alias("node")), "buckets")
+    left = stage(open_buckets(placed), "open-buckets")
+    sets = shingle_sets(texts, placed, left)
+    members = placed.join(bounded_broadcast(left.select("bucket", "n"), MAX_ROWS), "bucket")
+    # The largest node of each crowded bucket.
+    sizes = members.filter(F.col("n") > CHUNK).groupBy("bucket", "node").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "node")).alias("most")).select("bucket", F.col("most.node").alias("_largest"), F.col("most.size").alias("_size"))
+    members = members.join(bounded_broadcast(stage(largest, "largest"), MAX_ROWS), "bucket", "left")
+    rest = F.ceil((F.col("n") - F.coalesce("_size", F.lit(0))) / CHUNK)
+    split = members.select("bucket", "t", "node", F.coalesce(F.col("node") == F.col("_largest"), F.lit(False)).alias("joint"), F.greatest(rest, F.lit(1)).cast("int").alias("few"), F.coalesce(F.ceil(F.col("_size") / CHUNK), F.lit(0)).cast("int").alias("many"))
+    found = compare(split.join(sets, "t"))
+    return found if first is None else found.unionByName(first)
