@@ -3,6 +3,8 @@ and the sequence of identifiers is matched against ordered licence rules. All in
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from crosstally.llm.common import read
 
 # Ways to refer to a licence, and the licences' names, both as normalised text.
 LEADS = (
-    "licensed under", "released under", "distributed under", "published under", "available under", "provided under",
+    "governed by", "use of this source code is governed by", "licensed under", "released under", "distributed under", "published under", "available under", "provided under",
     "this work is licensed under", "this software is licensed under", "this project is licensed under", "this file is licensed under",
     "this code is licensed under", "this document is licensed under", "this work is released under", "this software is released under",
     "this project is released under", "this software is distributed under", "this work is distributed under", "this program is released under",
@@ -29,6 +31,7 @@ NAMES = {
     "BSD-3-Clause": ("bsd 3 clause license", "new bsd license", "modified bsd license"),
     "ISC": ("isc license",),
     "Unlicense": ("unlicense",),
+    "LicenseRef-BSD-style": ("bsd style license", "bsd license"),
     "CC0-1.0": ("cc0 1 0", "cc0 1 0 universal", "creative commons zero 1 0"),
     "CC-BY-4.0": ("cc by 4 0", "creative commons attribution 4 0 international license"),
     "CC-BY-SA-4.0": ("cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"),
@@ -73,9 +76,11 @@ RULES = (
     *((name, (f"ref{name}",)) for name in NAMES),
     ("Proprietary", ("allRights",)),
 )
+#: Comment marks at the start of a line, which would hide the blank lines of a commented licence.
+MARKS = r"\n[ \t]*(?:#+|//+|\*+|;+|--+|%+)[ \t]*"
 BREAK = r"[.!?]+\s+|\n\s*\n"
 
-# What follows is known to the operator alone: OP3_SQL keeps to the tables above and finds less in whole licence texts.
+# Sentences of the BSD texts, and the MIT and Apache sentences as the texts break them.
 BSD_PERMIT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
 BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
 BSD_BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
@@ -85,6 +90,8 @@ MIT_PERMIT, MIT_NOTICE = TEXTS["mitGrant"].split(" the above ")
 MORE_TEXTS = {
     MIT_PERMIT: "mitPermit",
     f"the above {MIT_NOTICE}": "mitNotice",
+    "this source code form is subject to the terms of the mozilla public license v": "mplSubject",  # the break after "v."
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mplCopy",
     "the asf licenses this file to you under the apache license version 2 0 the license": "apacheAsf",
     BSD_PERMIT: "bsdPermit",
     f"{BSD_PERMIT} 1": "bsdPermit",
@@ -127,7 +134,7 @@ def all_rules() -> tuple:
 
 
 def all_sentences() -> dict[str, str]:
-    """The sentences of OP3_SQL and those that only the operator knows."""
+    """normalised sentence -> identifier: all that are known."""
     found = sentences()
     for text, name in MORE_TEXTS.items():
         found.setdefault(text, name)
@@ -139,7 +146,7 @@ def all_sentences() -> dict[str, str]:
             found.setdefault(f"{start} version {version}", f"{stem}Only")
         for kind, tag in (("or later", "OrLater"), ("only", "Only")):
             found.setdefault(f"spdx license identifier {normal_text(name)} {kind}", f"{stem}{tag}")
-    return found
+    return {normal_text(text): name for text, name in found.items()}
 
 
 def sentences() -> dict[str, str]:
@@ -148,19 +155,23 @@ def sentences() -> dict[str, str]:
     for licence, names in NAMES.items():
         for name in names:
             for lead in LEADS:
-                for article in ("", "the "):
-                    found.setdefault(f"{lead} {article}{name}", f"ref{licence}")
+                found.setdefault(f"{lead} {name}", f"ref{licence}")
             found.setdefault(f"license {name}", f"ref{licence}")
         found[f"spdx license identifier {normal_text(licence)}"] = f"ref{licence}"
     return found
 
 
+#: Between a lead and a name these words say nothing; they are left out, in known sentences too.
+FILLING = r"\b(under|governed by) (?:the terms (?:and conditions )?of )?(?:the |an? )"
+
+
 def normal_text(text: str) -> str:
-    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split())
+    plain = " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split())
+    return re.sub(FILLING, r"\1 ", plain)
 
 
 def normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " ")), FILLING, "$1 ")
 
 
 def identifiers(text: Column) -> Column:
@@ -185,7 +196,8 @@ def identifiers(text: Column) -> Column:
 
     # Only sentences that can be known are looked at: all hold one of a few words.
     telling = r"licen|spdx|copyright|permission|software|under|mozilla|mpl|gnu|rights|redistribut"
-    parts = F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), BREAK), lambda s: s.rlike(telling))
+    plain = F.regexp_replace(F.concat(F.lit("\n"), F.lower(F.coalesce(text.cast("string"), F.lit("")))), MARKS, "\n")
+    parts = F.filter(F.split(plain, BREAK), lambda s: s.rlike(telling))
     return F.transform(F.flatten(F.transform(parts, of)), lambda s: F.element_at(table, s))
 
 
@@ -209,33 +221,44 @@ def scan(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known sentences and licences of every document, a row per row. Null and empty texts have none; other columns are
+    not read; an empty table gives no row."""
     return scan(read(spark, sf_dir, "documents"), "doc_id")
 
 
 def _sql() -> str:
-    known = sentences()
+    known, rules = all_sentences(), all_rules()
     quoted = ", ".join(f"('{k}', '{v}')" for k, v in known.items())
-    left, got = "'|' || array_to_string(ids, '|') || '|'", "''"
-    steps = [f"m0 AS (SELECT *, {left} AS rest, {got} AS got FROM found)"]
-    for k, (name, seq) in enumerate(RULES, 1):
+    norm = lambda c: rf"regexp_replace(trim(regexp_replace({c}, '[^a-z0-9]+', ' ', 'g')), '{FILLING}', '\1 ', 'g')"
+
+    def whole(c: str) -> str:
+        found = norm(c)
+        for free, fixed in FREE_PARTS:
+            found = f"regexp_replace({found}, '{free}', '{fixed}', 'g')"
+        return found
+
+    steps = ["m0 AS (SELECT *, '|' || array_to_string(ids, '|') || '|' AS rest, '' AS got FROM found)"]
+    for k, (name, seq) in enumerate(rules, 1):
         pattern = "|" + "|".join(seq) + "|"
         steps.append(f"m{k} AS (SELECT rid, doc_id, ids, replace(rest, '{pattern}', '|') AS rest, CASE WHEN contains(rest, '{pattern}') THEN got || ',{name}' ELSE got END AS got FROM m{k - 1})")
-    norm = r"trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g'))"
     return (
         f"WITH known(s, id) AS (VALUES {quoted}),\n"
-        "docs AS (SELECT row_number() OVER () AS rid, doc_id, lower(COALESCE(text, '')) AS t FROM documents),\n"
-        r"parts AS (SELECT rid, p, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT rid, regexp_split_to_array(t, '[.!?]+\s+|\n\s*\n') AS p FROM docs)),"
-        "\n"
-        f"whole AS (SELECT rid, i, s, id FROM parts LEFT JOIN known ON {norm.format('parts.s')} = known.s),\n"
-        f"whole2 AS (SELECT rid, i, parts.s AS raw, known.id FROM parts LEFT JOIN known ON {norm.format('parts.s')} = known.s),\n"
-        "rows_ AS (SELECT rid, i, 0 AS j, id FROM whole2 WHERE id IS NOT NULL UNION ALL "
-        f"SELECT rid, i, j, known.id FROM (SELECT rid, i, generate_subscripts(string_split(raw, chr(10)), 1) AS j, unnest(string_split(raw, chr(10))) AS line FROM whole2 WHERE id IS NULL) JOIN known ON {norm.format('line')} = known.s),\n"
-        "ids AS (SELECT rid, list(id ORDER BY i, j) AS ids FROM rows_ GROUP BY rid),\n"
+        f"docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_replace(chr(10) || lower(COALESCE(text, '')), '{MARKS}', chr(10), 'g') AS t FROM documents),\n"
+        f"cut AS (SELECT rid, p, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT rid, regexp_split_to_array(t, '{BREAK}') AS p FROM docs)),\n"
+        f"sent AS MATERIALIZED (SELECT rid, i, cut.s AS raw, known.id FROM cut LEFT JOIN known ON {whole('cut.s')} = known.s),\n"
+        "clauses AS (SELECT rid, i, generate_subscripts(p, 1) AS k, unnest(p) AS part FROM (SELECT rid, i, regexp_split_to_array(raw, ';\\s+') AS p FROM sent WHERE id IS NULL AND contains(raw, ';'))),\n"
+        f"clauses2 AS MATERIALIZED (SELECT rid, i, k, part, known.id FROM clauses LEFT JOIN known ON {whole('part')} = known.s),\n"
+        f"lines AS MATERIALIZED (SELECT rid, i, 0 AS k, j, known.id FROM (SELECT rid, i, generate_subscripts(string_split(raw, chr(10)), 1) AS j, unnest(string_split(raw, chr(10))) AS line FROM sent WHERE id IS NULL) JOIN known ON {norm('line')} = known.s),\n"
+        "parted AS MATERIALIZED (SELECT rid, i, k, 0 AS j, id FROM clauses2 WHERE id IS NOT NULL UNION ALL "
+        f"SELECT rid, i, k, j, known.id FROM (SELECT rid, i, k, generate_subscripts(string_split(part, chr(10)), 1) AS j, unnest(string_split(part, chr(10))) AS line FROM clauses2 WHERE id IS NULL) JOIN known ON {norm('line')} = known.s),\n"
+        "more AS (SELECT p.rid, p.i FROM (SELECT rid, i, count(*) AS n FROM parted GROUP BY ALL) p LEFT JOIN (SELECT rid, i, count(*) AS n FROM lines GROUP BY ALL) l ON p.rid = l.rid AND p.i = l.i WHERE p.n > COALESCE(l.n, 0)),\n"
+        "rows_ AS (SELECT rid, i, 0 AS k, 0 AS j, id FROM sent WHERE id IS NOT NULL UNION ALL SELECT * FROM lines ANTI JOIN more USING (rid, i) UNION ALL SELECT * FROM parted SEMI JOIN more USING (rid, i)),\n"
+        "ids AS (SELECT rid, list(id ORDER BY i, k, j) AS ids FROM rows_ GROUP BY rid),\n"
         "found AS (SELECT d.rid, d.doc_id, COALESCE(ids.ids, []) AS ids FROM docs d LEFT JOIN ids ON d.rid = ids.rid),\n" + ",\n".join(steps) + "\n"
         "SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_known, array_to_string(ids, ',') AS sentence_ids,\n"
-        "  array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(list_filter(string_split(got, ','), lambda x: x <> ''), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), ',') AS licenses\n"
-        f"FROM m{len(RULES)}"
+        "  array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(list_filter(string_split(got, ','), lambda x: x <> ''), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), ',') AS licenses "
+        f"FROM m{len(rules)}"
     )
 
 
-OP3_SQL = _sql().replace("whole AS (SELECT rid, i, s, id FROM parts LEFT JOIN known ON trim(regexp_replace(parts.s, '[^a-z0-9]+', ' ', 'g')) = known.s),\n", "")
+OP3_SQL = _sql()
