@@ -172,7 +172,7 @@ def test_simhash(spark, tables, docs_rows):
     assert len(set(label.values())) < len(ids) - 4
 
 
-def test_anchor_links_find_all_pairs(spark):
+def test_anchor_links_find_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40, np.int64)
     fps = set()
@@ -187,15 +187,15 @@ def test_anchor_links_find_all_pairs(spark):
     label = np.arange(len(fps))
     for _ in range(50):
         label = np.array([label[want[k]].min() for k in range(len(fps))])
-    for chunk in (4096, 20):  # 20: crowded anchors are dealt over parts
-        simhash.CHUNK = chunk
+    for chunk, parts in ((4096, 16), (20, 16), (5, 2)):  # crowded anchors are dealt over parts, or covered by a second block
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        monkeypatch.setattr(simhash, "MAX_PARTS", parts)
         df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
         root = {r["node"]: r["root"] for r in components.components(simhash.near_links(df)).collect()}
         got = {}
         for k, x in enumerate(fps.tolist()):
             got.setdefault(root.get(x, x), set()).add(k)
         assert sorted(map(sorted, got.values())) == sorted(np.flatnonzero(label == v).tolist() for v in set(label.tolist()))
-    simhash.CHUNK = 4096
 
 
 def test_golay_covers():
@@ -203,10 +203,40 @@ def test_golay_covers():
     x = np.random.default_rng(1).integers(0, 1 << 23, 2000)
     home = code.home(x)
     assert len(code.words) == 4096 and np.isin(home, code.words).all() and (np.bitwise_count(x ^ home) <= 3).all()
-    who, anchor = code.within_four(x[:50])
-    for k in range(50):
-        near = code.words[np.bitwise_count(code.words ^ x[k]) <= 4]
-        assert sorted(anchor[who == k].tolist()) == sorted(near.tolist())
+    for radius in (4, 5):
+        who, anchor = code.within(x[:50], radius)
+        for k in range(50):
+            near = code.words[np.bitwise_count(code.words ^ x[k]) <= radius]
+            assert sorted(anchor[who == k].tolist()) == sorted(near.tolist())
+
+
+def test_second_anchors_meet():
+    """Every pair at most 4 bits apart that meets in an anchor of one block also meets in one of two blocks."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 1 << 63, 3000, np.int64).view(np.uint64)
+    flips = np.zeros(3000, np.uint64)
+    for k in range(3000):
+        for bit in rng.choice(64, k % 5, replace=False).tolist():
+            flips[k] |= np.uint64(1) << np.uint64(bit)
+    a, b = x.view(np.int64), (x ^ flips).view(np.int64)
+    anchor_a, who_a, home_a = simhash.assignments(a)
+    anchor_b, who_b, home_b = simhash.assignments(b)
+    one = {(w, p) for w, p, h in zip(who_a.tolist(), anchor_a.tolist(), home_a.tolist(), strict=True) if h} & set(zip(who_b.tolist(), anchor_b.tolist(), strict=True))
+    assert {w for w, _ in one} == set(range(3000))
+    two_a, i, own = simhash.second_anchors(anchor_a, a[who_a], home_a)
+    two_b, j, _ = simhash.second_anchors(anchor_b, b[who_b], home_b)
+    both = {(w, p) for w, p, h in zip(who_a[i].tolist(), two_a.tolist(), own.tolist(), strict=True) if h} & set(zip(who_b[j].tolist(), two_b.tolist(), strict=True))
+    assert {(w, p >> 25) for w, p in both} == one
+
+
+def test_rows_to_compare_grow_linearly(spark, monkeypatch):
+    """Fingerprints that crowd few anchors: four times as many give about four times the rows, not sixteen."""
+    monkeypatch.setattr(simhash, "CHUNK", 64)
+    monkeypatch.setattr(simhash, "MAX_PARTS", 2)
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 1 << 63, 8000, np.int64) & ~np.int64((1 << 20) - 1)  # the first block is nearly constant
+    counts = [simhash.dealt(spark.createDataFrame([(int(x),) for x in np.unique(fps[:n])], "fp long")).count() for n in (2000, 8000)]
+    assert counts[1] < 6 * counts[0]
 
 
 def test_components_on_a_long_chain(spark):
@@ -308,17 +338,46 @@ version {version} of the License, or (at your option) any later version.
 """
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any means.
+"""
+
+
 def test_licenses_of_unaltered_texts(spark):
-    texts = [(MIT, "MIT"), (ASF, "Apache-2.0"), (APACHE, "Apache-2.0")]
+    texts = [(MIT, "MIT"), (ASF, "Apache-2.0"), (APACHE, "Apache-2.0"), (ISC, "ISC"), (MPL, "MPL-2.0"), (UNLICENSE, "Unlicense")]
+    texts += [("".join(f"{mark} {line}\n" for line in t.split("\n")), want) for mark in ("#", "//", " *", ";;") for t, want in [(MIT, "MIT"), (APACHE, "Apache-2.0"), (MPL, "MPL-2.0"), (ISC, "ISC")]]
+    texts += [("Released under the terms of the MIT license.", "MIT"), ("Use of this source code is governed by a BSD-style license", "LicenseRef-BSD-style"), ("nothing is licensed here. Copyright 2020", "")]
     for gap in ("", "\n"):
         two = BSD.format(gap=gap)
         texts += [(two, "BSD-2-Clause"), (two + ADVERT + NEITHER.format(who="Some Body"), "BSD-4-Clause")]
         texts += [(two + NEITHER.format(who=who), "BSD-3-Clause") for who in ("the copyright holder", "the Some University")]
     texts += [(GNU_HEADER.format(kind="library", colon=";", name="Lesser", end="; ", version="2.1"), "LGPL-2.1-or-later")]
     texts += [(GNU_HEADER.format(kind="program", colon=":", name=n, end=", ", version="3"), f"{i}-3.0-or-later") for n, i in (("Lesser", "LGPL"), ("Affero", "AGPL"))]
+    texts += [(GNU_HEADER.format(kind="program", colon=c, name="", end="; ", version=v).replace("GNU  ", "GNU "), f"GPL-{v}.0-or-later") for c in ":;" for v in "23"]
     texts += [(f"// SPDX-License-Identifier: {i}\nint x;", i) for i in ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "LGPL-2.1-or-later", "AGPL-3.0-only")]
     got = rows_of(licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string"), "doc_id"))
     assert [got[k]["licenses"] for k in range(len(texts))] == [want for _, want in texts]
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(k, t) for k, (t, _) in enumerate(texts)] + [(-1, None), (-2, "")])
+    told = {r[0]: r[1:] for r in con.execute(licenses.OP3_SQL).fetchall()}
+    assert {k: (r["n_known"], r["sentence_ids"], r["licenses"]) for k, r in got.items()} == {k: v for k, v in told.items() if k >= 0} and told[-1] == told[-2] == (0, "", "")
 
 
 def test_toxicity(spark, tables, docs_rows):
