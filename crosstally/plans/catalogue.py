@@ -893,13 +893,10 @@ def stream_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     from crosstally.sources.staging import shared_dir
-    from crosstally.streaming.incremental import run_to_memory, stream_aggregate as streamed
+    from crosstally.streaming.incremental import run_to_table, stream_aggregate as streamed
 
     static = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     known = dictionary.fit(SMALL.rows(spark, sf_dir), SMALL_NAMES)
     stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/lineitem.parq[u]et")
     rows = stream.select(*[F.expr(e).alias(n) for n, e in SMALL.features], F.expr(SMALL.label).cast("int").alias("label"))
-    name = f"cells_{uuid.uuid4().hex}"
-    run_to_memory(streamed(rows, known, SMALL.queries(known), counts()), name, f"{shared_dir(spark)}/{name}")
-    return spark.table(name)
-
+    return run_to_table(streamed(rows, known, SMALL.queries(known), counts()), f"{shared_dir(spark)}/staged/cells-{uuid.uuid4().hex}")
