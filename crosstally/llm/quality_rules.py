@@ -3,6 +3,7 @@ empirical beta prior, and the verdict on a host comes back to its documents."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,18 +21,32 @@ MAX_HOST_RATE = 0.5
 #: Limits of the prior's weight, in documents: hosts that don't differ get the upper one.
 PRIOR = (1.0, 1e6)
 MAX_HOSTS = 1_000_000
+#: Bytes of a text that are split into words in one go.
+CHUNK = 1 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
 SPACES, SYMBOLS = "\t\n\x0b\x0c\r ", "#*$%&|<>"
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def repeated_words(words: list[bytes]) -> int:
+def word_ids(raw: bytes) -> np.ndarray:
+    """A number per word, equal for equal words. A long text is split piece by piece; a piece ends at white space."""
+    ids: dict[bytes, int] = {}
+    found, at = [], 0
+    while at < len(raw):
+        space = SPACE.search(raw, at + CHUNK) if at + CHUNK < len(raw) else None
+        end = space.start() if space else len(raw)
+        words = raw[at:end].split()
+        found.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.int32)
+
+
+def repeated_words(x: np.ndarray) -> int:
     """Words in WINDOW-word windows that are found twice or more, first included."""
-    n = len(words) - WINDOW + 1
+    n = len(x) - WINDOW + 1
     if n < 2:
         return 0
-    ids: dict[bytes, int] = {}
-    x = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
     mixed = np.zeros(n, np.uint64)
     for k, m in enumerate(MIX):
         mixed += (x[k : k + n].astype(np.uint64) + np.uint64(1)) * m
@@ -46,7 +61,7 @@ def repeated_words(words: list[bytes]) -> int:
         starts = np.flatnonzero(counts[where.reshape(-1)] > 1)
     else:
         starts = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
-    step = np.zeros(len(words) + 1, np.int64)
+    step = np.zeros(len(x) + 1, np.int32)
     np.add.at(step, starts, 1)
     np.add.at(step, starts + WINDOW, -1)
     return int((np.cumsum(step) > 0).sum())
@@ -57,7 +72,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     if not text:
         return 0, 0, 0, 0, 0
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
+    words = word_ids(raw)
     lines = [x for x in raw.split(b"\n") if x.strip()]
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
@@ -103,7 +118,8 @@ def judge(df: DataFrame, key: str, host: str, text: str = "text") -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics and verdict of every document; ``source`` is the host."""
+    """Metrics and verdict of every document; ``source`` is the host, a null one a host of its own. Null and empty texts
+    have no word and fail the base rules; a row per row, whatever rows share a doc_id; an empty table gives none."""
     judged = judge(read(spark, sf_dir, "documents"), "doc_id", "source")
     return judged.select(F.col("key").alias("doc_id"), *[x.split()[0] for x in METRICS.split(", ")], "base_failed", "kept")
 

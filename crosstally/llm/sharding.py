@@ -23,8 +23,8 @@ def sides(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
-def permute(number: Column, n: int, seed: int) -> Column:
-    """The image of ``number`` (0..n-1) under a seeded permutation of 0..n-1.
+def permute(number: Column, n: int, seed: int, inverse: bool = False) -> Column:
+    """The image of ``number`` (0..n-1) under a seeded permutation of 0..n-1, or under its inverse.
 
     A number is a cell (l, r) of a grid a x b; each round adds a hash of one half to the other, modulo its side, which
     can be undone, so the rounds permute the grid. Cells outside 0..n-1 are walked on until they return. The grid has
@@ -32,18 +32,19 @@ def permute(number: Column, n: int, seed: int) -> Column:
     probability under n ** -15; a walk that does fail raises instead of giving a wrong row.
     """
     a, b = sides(n)
+    sign = F.lit(-1 if inverse else 1)
 
     def turn(cell: Column, k: Column) -> Column:
         left, right = cell["l"], cell["r"]
         even = k % 2 == 0
         return F.struct(
-            F.when(even, F.pmod(left + F.pmod(F.xxhash64(F.lit(seed), k, right), F.lit(a)), F.lit(a))).otherwise(left).alias("l"),
-            F.when(even, right).otherwise(F.pmod(right + F.pmod(F.xxhash64(F.lit(seed), k, left), F.lit(b)), F.lit(b))).alias("r"),
+            F.when(even, F.pmod(left + sign * F.pmod(F.xxhash64(F.lit(seed), k, right), F.lit(a)), F.lit(a))).otherwise(left).alias("l"),
+            F.when(even, right).otherwise(F.pmod(right + sign * F.pmod(F.xxhash64(F.lit(seed), k, left), F.lit(b)), F.lit(b))).alias("r"),
         )
 
     def once(x: Column) -> Column:
         start = F.struct((x % F.lit(a)).cast("long").alias("l"), F.floor(x / F.lit(a)).cast("long").alias("r"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda c: c["l"] + c["r"] * F.lit(a))
+        return F.aggregate(F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda c: c["l"] + c["r"] * F.lit(a))
 
     first = once(number.cast("long"))
     steps = min(WALK, a * b - n)
@@ -73,9 +74,15 @@ def shard_rows(
     )
 
 
+def row_at(shard: Column, slot: Column, n: int, n_shards: int = 16, seed: int = 20) -> Column:
+    """The global row number at a place, without looking at any row."""
+    return permute(slot * F.lit(n_shards) + shard, n, seed, inverse=True)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards under the law ``rows``. The order of the row numbers is (doc_id, crc, size): what
-    the result shows of a row, so rows that tie on it are alike in the result."""
+    the result shows of a row, so rows that tie on it are alike in the result. Null ids come first, null texts are
+    empty; an empty table gives no row."""
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     docs = read(spark, sf_dir, "documents").select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     return shard_rows(docs, [F.col("doc_id"), F.col("text_crc32"), F.col("size")]).select(

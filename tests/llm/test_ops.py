@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -77,6 +78,28 @@ def test_permute_is_a_permutation(spark):
         assert n < 50 or got != list(range(n))
 
 
+def feistel(x: int, n: int, seed: int) -> int:
+    """The permutation with Python's whole numbers; Spark's hash of several values feeds each into the next one's seed."""
+    a, b = sharding.sides(n)
+    while True:
+        left, right = x % a, x // a
+        for k in range(sharding.ROUNDS):
+            h, other = 42, right if k % 2 == 0 else left
+            for raw in (struct.pack("<i", seed), struct.pack("<i", k), struct.pack("<q", other)):
+                h = xxhash.xxh64_intdigest(raw, h)
+            h -= (h >> 63) << 64
+            left, right = ((left + h % a) % a, right) if k % 2 == 0 else (left, (right + h % b) % b)
+        x = left + right * a
+        if x < n:
+            return x
+
+
+def test_permute_matches_plain_python_and_has_an_inverse(spark):
+    for n in (1, 3, 10, 101, 997):
+        rows = spark.range(n).select("id", sharding.permute(F.col("id"), n, 9).alias("p")).withColumn("back", sharding.permute(F.col("p"), n, 9, inverse=True)).collect()
+        assert [(r["p"], r["back"]) for r in rows] == [(feistel(r["id"], n, 9), r["id"]) for r in rows]
+
+
 def test_sharding(spark, tables, docs_rows):
     got = rows_of(sharding.op2_sharding(spark, tables))
     assert len(got) == len(docs_rows)
@@ -88,6 +111,11 @@ def test_sharding(spark, tables, docs_rows):
         by[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert [got[i]["row_number"] for i, *_ in sorted(docs_rows)] == list(range(len(docs_rows)))
+    for i, *_ in docs_rows:
+        p = feistel(got[i]["row_number"], len(docs_rows), 20)
+        assert (got[i]["shard"], got[i]["slot"]) == (p % 16, p // 16)
+    found = spark.createDataFrame([(r["shard"], r["slot"], r["row_number"]) for r in got.values()], "shard int, slot long, row_number long")
+    assert found.filter(sharding.row_at(F.col("shard").cast("long"), F.col("slot"), len(docs_rows)) != F.col("row_number")).count() == 0
     again = rows_of(sharding.op2_sharding(spark, tables))
     assert {i: (r["shard"], r["slot"]) for i, r in again.items()} == {i: (r["shard"], r["slot"]) for i, r in got.items()}
 
@@ -147,6 +175,14 @@ def test_quality_rules(spark, tables, docs_rows):
         assert not (failed and r["kept"])
 
 
+def test_words_of_pieces(monkeypatch):
+    text = make_texts()[-4]
+    whole = quality_rules.measure(text)
+    for chunk in (1, 7, 1000):
+        monkeypatch.setattr(quality_rules, "CHUNK", chunk)
+        assert quality_rules.measure(text) == whole and len(quality_rules.word_ids(b" a  b a ")) == 3
+
+
 def test_host_verdict(spark):
     rows = [(k, "bad", "short") for k in range(60)] + [(100 + k, "good", " ".join(f"w{k}x{j}" for j in range(20))) for k in range(60)] + [(300, "bad", " ".join(f"v{j}" for j in range(20)))]
     got = {r["key"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, source string, text string"), "doc_id", "source").collect()}
