@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from math import sqrt
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +14,16 @@ from crosstally.sources.staging import discard, stage
 
 #: The words of the contracts: what lies between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a text that are split into words in one go.
+PIECE = 1 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["WORD", "bounded_broadcast", "discard", "free_name", "least_hashed", "number_rows", "partitions_for", "read", "stage"]
+__all__ = ["WORD", "bounded_broadcast", "byte_pieces", "discard", "free_name", "least_hashed", "number_rows", "partitions_for", "read", "stage"]
 
 
 def least_hashed(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
@@ -35,5 +40,15 @@ def least_hashed(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     return df.filter(by <= F.lit(min(int((share - 0.5) * 2**64), (1 << 63) - 1))).orderBy(by, key).limit(most)
 
 
+def byte_pieces(raw: bytes) -> Iterator[bytes]:
+    """A text in pieces of about PIECE bytes that end at ASCII white space, so that no word is cut."""
+    at = 0
+    while at < len(raw):
+        space = SPACE.search(raw, at + PIECE) if at + PIECE < len(raw) else None
+        end = space.start() if space else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -3,7 +3,6 @@ empirical beta prior, and the verdict on a host comes back to its documents."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstally.llm.common import bounded_broadcast, read, stage
+from crosstally.llm.common import bounded_broadcast, byte_pieces, read, stage
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -21,24 +20,19 @@ MAX_HOST_RATE = 0.5
 #: Limits of the prior's weight, in documents: hosts that don't differ get the upper one.
 PRIOR = (1.0, 1e6)
 MAX_HOSTS = 1_000_000
-#: Bytes of a text that are split into words in one go.
-CHUNK = 1 << 20
-SPACE = re.compile(rb"[\x20\x09-\x0d]")
+BLOCK = 1 << 18
 SPACES, SYMBOLS = "\t\n\x0b\x0c\r ", "#*$%&|<>"
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 def word_ids(raw: bytes) -> np.ndarray:
-    """A number per word, equal for equal words. A long text is split piece by piece; a piece ends at white space."""
+    """A number per word, equal for equal words. A long text is split piece by piece."""
     ids: dict[bytes, int] = {}
-    found, at = [], 0
-    while at < len(raw):
-        space = SPACE.search(raw, at + CHUNK) if at + CHUNK < len(raw) else None
-        end = space.start() if space else len(raw)
-        words = raw[at:end].split()
+    found = []
+    for piece in byte_pieces(raw):
+        words = piece.split()
         found.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
-        at = end
     return np.concatenate(found) if found else np.zeros(0, np.int32)
 
 
@@ -48,19 +42,24 @@ def repeated_words(x: np.ndarray) -> int:
     if n < 2:
         return 0
     mixed = np.zeros(n, np.uint64)
-    for k, m in enumerate(MIX):
-        mixed += (x[k : k + n].astype(np.uint64) + np.uint64(1)) * m
-    mixed ^= mixed >> np.uint64(29)
+    for at in range(0, n, BLOCK):
+        own = mixed[at : at + BLOCK]
+        for k, m in enumerate(MIX):
+            own += (x[at + k : at + k + len(own)].astype(np.uint64) + np.uint64(1)) * m
+        own ^= own >> np.uint64(29)
     order = np.argsort(mixed, kind="stable")
-    same = mixed[order][1:] == mixed[order][:-1]
-    if not same.any():
+    mixed = mixed[order]
+    same = np.flatnonzero(mixed[1:] == mixed[:-1])
+    if not len(same):
         return 0
-    windows = np.lib.stride_tricks.sliding_window_view(x, WINDOW)
-    if (windows[order[1:][same]] != windows[order[:-1][same]]).any():  # two windows share a hash: compare in full
+    windows, first, second = np.lib.stride_tricks.sliding_window_view(x, WINDOW), order[same], order[same + 1]
+    if any((windows[first[at : at + BLOCK]] != windows[second[at : at + BLOCK]]).any() for at in range(0, len(same), BLOCK)):  # two windows share a hash: compare in full
         _, where, counts = np.unique(windows, axis=0, return_inverse=True, return_counts=True)
         starts = np.flatnonzero(counts[where.reshape(-1)] > 1)
     else:
-        starts = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
+        found = np.zeros(n, bool)
+        found[first] = found[second] = True
+        starts = np.flatnonzero(found)
     step = np.zeros(len(x) + 1, np.int32)
     np.add.at(step, starts, 1)
     np.add.at(step, starts + WINDOW, -1)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from crosstally.llm import similar
 from crosstally.llm.components import components
-from crosstally.llm.common import bounded_broadcast, free_name, partitions_for, read, stage
+from crosstally.llm.common import bounded_broadcast, byte_pieces, free_name, partitions_for, read, stage
 
 SEED = 42
 SHINGLE = 4
@@ -42,20 +42,22 @@ MAX_GONE = 4_000_000
 
 
 def fingerprint(text: bytes) -> int:
-    words = text.lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    joined, hash_of = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    hashes = np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64)
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):  # bounded memory for very long texts
-        bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * total > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+    total, count, words, hash_of = np.zeros(64, np.int64), 0, [], xxhash.xxh64_intdigest
+    for piece in byte_pieces(text):
+        words += piece.lower().split()  # of bytes: A-Z and ASCII white space only
+        if len(words) < SHINGLE:
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        hashes = np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64)
+        for at in range(0, len(hashes), 8192):
+            bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total += bits.sum(axis=0, dtype=np.int64)
+        count, words = count + len(hashes), words[1 - SHINGLE :]
+    if not count:
+        return hash_of(b" ".join(words), SEED) if words else 0
+    return int(np.packbits((2 * total > count).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstally.llm.common import bounded_broadcast, partitions_for, stage
+from crosstally.llm.common import bounded_broadcast, byte_pieces, partitions_for, stage
 from crosstally.llm.components import components
 
 WIDTH = 5
@@ -42,12 +42,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: bytes) -> np.ndarray:
     """Hashes of all runs of WIDTH words, repeats too. A text of fewer words has one, all its words; without words none."""
-    words = text.lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    width = min(WIDTH, len(words))
-    n = len(words) - width + 1
+    # Of bytes: A-Z and ASCII white space only.
+    h = np.concatenate([np.zeros(0, np.uint64), *[np.array([xxhash.xxh64_intdigest(w) for w in piece.lower().split()], np.uint64) for piece in byte_pieces(text)]])
+    if not len(h):
+        return h
+    width = min(WIDTH, len(h))
+    n = len(h) - width + 1
     x = h[:n]
     for k in range(1, width):
         x = x * STEP + h[k : n + k]

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from crosstally.llm import chat, components, decontamination, licenses, mixing, quality, quality_rules, sharding, simhash, suffixes, toxicity
+from crosstally.llm import chat, common, components, decontamination, licenses, mixing, quality, quality_rules, sharding, similar, simhash, suffixes, toxicity
 from crosstally.llm.common import least_hashed
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, key int, _source string, row_number long, kept boolean, w string, fp string, h long"
@@ -177,10 +177,12 @@ def test_quality_rules(spark, tables, docs_rows):
 
 def test_words_of_pieces(monkeypatch):
     text = make_texts()[-4]
-    whole = quality_rules.measure(text)
-    for chunk in (1, 7, 1000):
-        monkeypatch.setattr(quality_rules, "CHUNK", chunk)
-        assert quality_rules.measure(text) == whole and len(quality_rules.word_ids(b" a  b a ")) == 3
+    of = lambda t: (quality_rules.measure(t), simhash.fingerprint(t.encode()), similar.shingles(t.encode()).tolist())
+    whole, short = of(text), of("a  b a\nC")
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text) and simhash.fingerprint(b"a  b a\nC") == brute_fingerprint("a  b a\nC")
+    for piece in (1, 7, 1000):
+        monkeypatch.setattr(common, "PIECE", piece)
+        assert of(text) == whole and of("a  b a\nC") == short and len(quality_rules.word_ids(b" a  b a ")) == 3
 
 
 def test_host_verdict(spark):
