@@ -18,22 +18,26 @@ N_SHARDS = 16
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling rejects go."""
+    """Documents that importance resampling rejects go. Null and empty texts have no n-gram and are sampled by the
+    offset alone; equal rows share their fate; without good and bad labels, all stay."""
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id."""
+    """One row of each near-duplicate group stays, the one with the smallest doc_id, null ids last. Rows are judged by
+    their own texts, whatever rows share their id; null and empty texts are alike."""
     return simhash.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Rows are judged by their own texts; null and empty texts stay."""
     return decontamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: a row per copy, none for documents that it leaves out."""
+    """Each document as often as the mix takes it: a row per copy, none for documents that it leaves out. Null and empty
+    texts have size 0 and are taken like others of their source; a source without a word is left out; a null source is
+    a source of its own; equal texts of one doc_id, source and size may swap their copies."""
     size = free_name(docs, "size")
     sized = docs.withColumn(size, mixing.n_words(F.col("text")))
     mixed = mixing.mix(sized, ["doc_id"], size)
@@ -42,8 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns, with the global row number, the shard and the slot. Copies of a document are alike, so their order
-    is open."""
+    """All columns, with the global row number, the shard and the slot. Null ids come first. Copies of a document are
+    alike, so their order is open."""
     return sharding.shard_rows(docs, [F.col("doc_id"), F.xxhash64("text")], N_SHARDS)
 
 
