@@ -37,10 +37,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: a row per copy, none for documents that it leaves out. Null and empty
     texts have size 0 and are taken like others of their source; a source without a word is left out; a null source is
-    a source of its own; equal texts of one doc_id, source and size may swap their copies."""
-    size = free_name(docs, "size")
-    sized = docs.withColumn(size, mixing.n_words(F.col("text")))
-    mixed = mixing.mix(sized, ["doc_id"], size)
+    a source of its own; equal texts of one doc_id and source may swap their copies."""
+    size, own = free_name(docs, "size"), free_name(docs, "own_text")
+    sized = docs.withColumn(size, mixing.n_words(F.col("text"))).withColumn(own, F.xxhash64("text"))
+    mixed = mixing.mix(sized, ["doc_id", own], size)
     copies = mixed.columns[-1]
     return mixed.filter(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
