@@ -468,3 +468,30 @@ def test_stream_goes_on_from_its_checkpoint(spark, rows, small, tmp_path):
     rows.filter("id >= 300").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     assert cells(run()) == cells(table)
     assert cells(run()) == cells(table)  # nothing new
+
+
+def test_projection_brings_pairs_and_singles_together(small):
+    _, q, *_ = small
+    cells_ = np.random.default_rng(3).normal(0, 5, q.total)
+
+    def gap(v):
+        out, at = 0.0, q.offsets
+        for p in (x for x in q.queries if isinstance(x, Pair)):
+            table = v[at[p.name] : at[p.name] + p.size].reshape(q.sizes[p.second], q.sizes[p.first])
+            out += np.abs(table.sum(axis=0) - v[at[p.first] : at[p.first] + q.sizes[p.first]]).sum()
+            out += np.abs(table.sum(axis=1) - v[at[p.second] : at[p.second] + q.sizes[p.second]]).sum()
+        return out
+
+    assert gap(mrf.project(q, cells_)) < 0.1 * gap(cells_) and mrf.project(q, cells_, clip=True).min() >= 0
+    even = mrf.project(q, cells_, 200)
+    assert np.abs(mrf.project(q, even, 1) - even).max() < 1e-6  # what agrees stays
+
+
+def test_poisson_loss_and_hessian(spark, small):
+    model = exact_model(spark, small, exact=True)
+    assert mrf.poisson_loss(model, np.maximum(model.displays, 1e-9), np.maximum(model.clicks, 1e-9)) < 1e-6
+    fitted = mrf.fit(model, 30)
+    assert mrf.poisson_loss(fitted, *mrf.predicted(fitted)) < mrf.poisson_loss(model, *mrf.predicted(model))
+    d, c = mrf.exact_numpy(model)
+    h_mu, h_theta = mrf.inverse_hessian(model, d, c)
+    assert np.allclose(1 / h_mu, 2 + 0.5 * d + 0.5 * model.displays) and np.allclose(1 / h_theta, 2 + 0.5 * c + 0.5 * model.clicks)
