@@ -75,20 +75,20 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     whole = F.col(text).cast("string")
     named = docs.select(F.col(key).alias("key"), F.xxhash64(whole).alias("t"), whole.alias("text"))
 
-    def shingles(df: DataFrame, make: object) -> DataFrame:
+    def shingles(df: DataFrame, make: object, *more: str) -> DataFrame:
         """One row per window of every width; the words of a text are split once."""
-        return df.select("key", "t", words(F.col("text")).alias("w")).select("key", "t", F.explode(F.concat(*[windows(F.col("w"), n, make) for n in widths])).alias("s"))
-
-    side = bounded_broadcast(stage(sketches(wanted), "sketches").select("h", "item").distinct(), MAX_ROWS)
-    found = shingles(named, hashed).join(side, F.col("s") == F.col("h")).select("key", "t", "item").distinct()
-    candidates = stage(found, "candidates")
-    # Only candidates are read again; their pairs bring the items' shingles, so a shingle of many items meets no other pair.
-    names = bounded_broadcast(candidates.select(F.col("key").alias("_key"), F.col("t").alias("_t")).distinct(), MAX_ROWS)
-    near = named.join(names, (F.col("t") == F.col("_t")) & F.col("key").eqNullSafe(F.col("_key")), "left_semi")
-    terms = wanted.select(F.col("item").alias("_item"), "shingle", "n")
-    asked = bounded_broadcast(candidates.join(bounded_broadcast(terms, MAX_ROWS), F.col("item").eqNullSafe(F.col("_item"))).select(F.col("key").alias("_key"), F.col("t").alias("_t"), "item", "shingle", "n"), MAX_ROWS)
-    hits = shingles(near, joined).distinct().join(asked, (F.col("t") == F.col("_t")) & (F.col("s") == F.col("shingle")) & F.col("key").eqNullSafe(F.col("_key")))
-    counted = hits.groupBy("key", "t", "item", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") * 100 >= F.col("n") * PERCENT)
+        return df.select("key", "t", *more, words(F.col("text")).alias("w")).select("key", "t", *more, F.explode(F.concat(*[windows(F.col("w"), n, make) for n in widths])).alias("s"))
+
+    number = F.xxhash64("item").alias("number")
+    side = bounded_broadcast(stage(sketches(wanted), "sketches").select("h", number).distinct(), MAX_ROWS)
+    found = shingles(named, hashed).join(side, F.col("s") == F.col("h")).select("key", "t", "number").distinct()
+    # Only candidates are read again. Each brings the numbers of its own items, so a shingle of many items is matched
+    # with those alone, and nothing else reaches the exchange.
+    candidates = stage(found.groupBy(F.col("key").alias("_key"), F.col("t").alias("_t")).agg(F.collect_set("number").alias("numbers")), "candidates")
+    near = named.join(bounded_broadcast(candidates, MAX_ROWS), (F.col("t") == F.col("_t")) & F.col("key").eqNullSafe(F.col("_key")))
+    terms = bounded_broadcast(wanted.select("item", number, "shingle", "n"), MAX_ROWS)
+    hits = shingles(near, joined, "numbers").join(terms, (F.col("s") == F.col("shingle")) & F.array_contains("numbers", F.col("number")))
+    counted = hits.select("key", "t", "item", "n", "shingle").distinct().groupBy("key", "t", "item", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") * 100 >= F.col("n") * PERCENT)
     return counted.select("key", "t", "item", "shared", F.col("n").alias("item_shingles"), (F.col("shared") / F.col("n")).alias("containment"))
 
 
