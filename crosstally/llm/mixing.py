@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crosstally.llm.common import WORD, bounded_broadcast, free_name, number_rows, read
+from crosstally.llm.common import WORD, bounded_broadcast, free_name, number_rows, read, stage
 
 #: Fixed by the contract: weights by the source's rank, repeating.
 WEIGHTS = (5, 2, 1)
@@ -82,8 +82,11 @@ def mix(df: DataFrame, key: list[str], size: str, source: str = "source", max_ep
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document, in words. A null text has size 0."""
+    """What the mix takes of each document, in words. A null or empty text has size 0 and is taken 0 words; a null source
+    is a source of its own; rows that agree in doc_id, source and size may swap what is taken of them; an empty table
+    gives no row."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    docs = stage(docs, "sizes")  # texts are counted once: dealing rows by range reads its input twice
     mixed = mix(docs, ["doc_id"], "size")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
