@@ -49,11 +49,17 @@ def per_feature_errors(encoded: DataFrame, queries: QuerySet, label: str, predic
     return table.groupBy("query").agg((F.sum(F.abs(F.col("y") - F.col("p"))) / F.sum("y")).alias("agg_l1"), (F.sum(F.pow(F.col("y") - F.col("p"), 2)) / F.sum("y")).alias("agg_se"))
 
 
-def poisson_score(table: DataFrame, observed: str, expected: str, smoothing: float = 0.0) -> DataFrame:
+def poisson_score(table: DataFrame, observed: str, expected: str, smoothing: float = 0.0, n: float | None = None) -> DataFrame:
     """(query, score): the log likelihood that each query's counts lose against a perfect prediction, under Poisson
-    laws whose means are both raised by the noise's variance (``smoothing``)."""
-    o, e = F.greatest(F.col(observed), F.lit(0.0)) + F.lit(smoothing) + F.lit(0.5), F.greatest(F.col(expected), F.lit(0.0)) + F.lit(smoothing) + F.lit(0.5)
-    return table.groupBy("query").agg(F.sum(o * F.ln(o / e) - o + e).alias("score"))
+    laws whose means are both raised by the noise's variance (``smoothing``). With ``n`` both sides of a query are first
+    scaled to that sum, so that queries, and tables of different sizes, compare."""
+    o, e = (F.greatest(F.col(c).cast("double"), F.lit(0.0)) for c in (observed, expected))
+    rows = table.select("query", o.alias("o"), e.alias("e"))
+    if n is not None:
+        sums = rows.groupBy(F.col("query").alias("__query")).agg(F.sum("o").alias("__o"), F.sum("e").alias("__e"))  # a row per query
+        rows = rows.join(F.broadcast(sums), F.col("query") == F.col("__query")).select("query", (F.col("o") * n / F.nullif("__o", F.lit(0.0))).alias("o"), (F.col("e") * n / F.nullif("__e", F.lit(0.0))).alias("e"))
+    raised = rows.select("query", (F.col("o") + F.lit(smoothing + 0.5)).alias("o"), (F.col("e") + F.lit(smoothing + 0.5)).alias("e"))
+    return raised.groupBy("query").agg(F.sum(F.col("o") * F.ln(F.col("o") / F.col("e")) - F.col("o") + F.col("e")).alias("score"))
 
 
 def worst_queries(scores: DataFrame, k: int = 3) -> DataFrame:

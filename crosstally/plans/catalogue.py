@@ -677,6 +677,14 @@ def poisson_score_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _divergence(spark, sf_dir).select("query", F.round("score", 6).alias("score"))
 
 
+@register("poisson_score_common", f"{_SCORED_SQL}, t AS ({_ERRORS}), m AS (SELECT query, 10000.0 * y / sum(y) OVER (PARTITION BY query) + 50.5 AS y, 10000.0 * p / sum(p) OVER (PARTITION BY query) + 50.5 AS p FROM t) SELECT query, round(sum(y * ln(y / p) - y + p), 6) AS score FROM m GROUP BY query")
+def poisson_score_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides scaled to 10,000 in every query."""
+    scored, q = _scored(spark, sf_dir)
+    table = agg.aggregate(scored, q, {"y": F.col("label").cast("double"), "p": F.col("p1")})
+    return metrics.poisson_score(stage(table, "cells"), "y", "p", 50.0, 10_000.0).select("query", F.round("score", 6).alias("score"))
+
+
 @register("topk_divergence", f"{_POISSON} SELECT query, round(score, 6) AS score FROM sc ORDER BY score DESC, query LIMIT 3")
 def topk_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.worst_queries(_divergence(spark, sf_dir)).select("query", F.round("score", 6).alias("score"))
