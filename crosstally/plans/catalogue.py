@@ -797,24 +797,39 @@ def mrf_row_samples_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parameters(spark, mu=model.mu, theta=model.theta)
 
 
-def _logistic_sql(steps: int) -> str:
-    """The aggregate logistic by preconditioned steps; rows with the same ids count as one state."""
-    step = 1.0 / len(SMALL_QUERIES)
-    head = f"""WITH {SMALL.sql()},
-st AS MATERIALIZED (SELECT row_number() OVER () AS state, count(*) AS n, sum(label) AS y, [{', '.join(_params_sql(SMALL, SMALL_QUERIES))}] AS ps FROM enc e, sz s GROUP BY ps),
-kp AS MATERIALIZED (SELECT state, n, y, CAST(unnest(ps) AS BIGINT) AS param FROM st),
-pr AS (SELECT unnest(range(0, (SELECT {' + '.join(SMALL.cell_sql(q)[1] for q in SMALL_QUERIES)} FROM sz s))) AS param),
-dat AS MATERIALIZED (SELECT pr.param, CAST(COALESCE(sum(y), 0) AS DOUBLE) AS c FROM pr LEFT JOIN kp USING (param) GROUP BY pr.param),
-al AS (SELECT ln(sum(label) / (count(*) - sum(label))) AS b FROM enc),
-p0 AS MATERIALIZED (SELECT param, 0.0 AS theta FROM dat)"""
+def _logistic_ctes(names: list[str], steps: int, x: str = "") -> str:
+    """The aggregate logistic over some of the small queries by preconditioned steps, as CTEs ending in p<x>_<steps>.
+    Rows with the same ids count as one state, with its parameters in k<x>."""
+    step = 1.0 / len(names)
+    params, size = ", ".join(_params_sql(SMALL, names)), " + ".join(SMALL.cell_sql(q)[1] for q in names)
+    head = f"""
+k{x} AS MATERIALIZED (SELECT state, n, y, CAST(unnest([{params}]) AS BIGINT) AS param FROM st e, sz s),
+r{x} AS (SELECT unnest(range(0, (SELECT {size} FROM sz s))) AS param),
+d{x} AS MATERIALIZED (SELECT r.param, CAST(COALESCE(sum(y), 0) AS DOUBLE) AS c FROM r{x} r LEFT JOIN k{x} USING (param) GROUP BY r.param),
+p{x}_0 AS MATERIALIZED (SELECT param, 0.0 AS theta FROM d{x})"""
     rounds = "".join(f""",
-s{k} AS MATERIALIZED (SELECT state, 1 / (1 + exp(-(sum(theta) + any_value(b)))) AS p FROM kp JOIN p{k} USING (param), al GROUP BY state),
-e{k} AS (SELECT param, sum(n * p) AS ec FROM kp JOIN s{k} USING (state) GROUP BY param),
-p{k + 1} AS MATERIALIZED (SELECT param, theta - {step!r} * greatest(-2.0, least(2.0, (COALESCE(ec, 0) - c + 32.0 * theta) / (32.0 + 0.5 * COALESCE(ec, 0) + 0.5 * c + 1e-9))) AS theta FROM p{k} JOIN dat USING (param) LEFT JOIN e{k} USING (param))""" for k in range(steps))
-    return f"{head}{rounds} SELECT param, round(theta, 6) + 0.0 AS theta FROM p{steps}"
+s{x}_{k} AS MATERIALIZED (SELECT state, 1 / (1 + exp(-(sum(theta) + any_value(b)))) AS p FROM k{x} JOIN p{x}_{k} USING (param), al GROUP BY state),
+e{x}_{k} AS (SELECT param, sum(n * p) AS ec FROM k{x} JOIN s{x}_{k} USING (state) GROUP BY param),
+p{x}_{k + 1} AS MATERIALIZED (SELECT param, theta - {step!r} * greatest(-2.0, least(2.0, (COALESCE(ec, 0) - c + 32.0 * theta) / (32.0 + 0.5 * COALESCE(ec, 0) + 0.5 * c + 1e-9))) AS theta FROM p{x}_{k} JOIN d{x} USING (param) LEFT JOIN e{x}_{k} USING (param))""" for k in range(steps))
+    return head + rounds
+
+
+_STATES_SQL = f"""WITH {SMALL.sql()},
+st AS MATERIALIZED (SELECT row_number() OVER () AS state, count(*) AS n, sum(label) AS y, {', '.join(SMALL_NAMES)} FROM enc GROUP BY {', '.join(SMALL_NAMES)}),
+al AS (SELECT ln(sum(label) / (count(*) - sum(label))) AS b FROM enc),"""
+
+
+def _ensemble_sql(steps: int) -> str:
+    """One logistic per pair of features, each with all singles; the mean of their log odds."""
+    pairs = SMALL_QUERIES[len(SMALL_NAMES) :]
+    models_ = ",".join(_logistic_ctes([*SMALL_NAMES, p], steps, str(i)) for i, p in enumerate(pairs))
+    odds = ",\n".join(f"z{i} AS (SELECT state, sum(theta) + any_value(b) AS z FROM k{i} JOIN p{i}_{steps} USING (param), al GROUP BY state)" for i in range(len(pairs)))
+    mean = " + ".join(f"z{i}.z" for i in range(len(pairs)))
+    joins = " ".join(f"JOIN z{i} ON z{i}.state = st.state" for i in range(len(pairs)))
+    return f"{_STATES_SQL}{models_},\n{odds}\nSELECT row_key, round(1 / (1 + exp(-({mean}) / {len(pairs)})), 6) AS prediction FROM enc JOIN st USING ({', '.join(SMALL_NAMES)}) {joins}"
 
 
-@register("agglogistic_fit", _logistic_sql(10))
+@register("agglogistic_fit", f"{_STATES_SQL}{_logistic_ctes(SMALL_QUERIES, 10)} SELECT param, round(theta, 6) + 0.0 AS theta FROM p_10")
 def agglogistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, q, encoded = _small(spark, sf_dir)
     return _parameters(spark, theta=models.fit_aggregate_logistic(table, encoded, q, 10).theta).select("param", (F.round("theta", 6) + F.lit(0.0)).alias("theta"))
@@ -872,13 +887,13 @@ def multinomial_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.chained_samples(spark, table, q, 2_000, 3)
 
 
-@register("logistic_ensemble")
+@register("logistic_ensemble", _ensemble_sql(3))
 def logistic_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, q, encoded = _small(spark, sf_dir)
     fitted = models.logistic_ensemble(table, encoded, q, 3)
     for k, m in enumerate(fitted):
         encoded = m.predict(encoded, name=f"p{k}")
-    return encoded.select("row_key", models.ensemble([F.col(f"p{k}") for k in range(len(fitted))], logit=True).alias("prediction"))
+    return encoded.select("row_key", F.round(models.ensemble([F.col(f"p{k}") for k in range(len(fitted))], logit=True), 6).alias("prediction"))
 
 
 @register("hashed_logistic")
