@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosstally.functions import noise
 from crosstally.operators import aggregate as agg
 from crosstally.operators import dictionary, privacy
-from crosstally.functions import noise
 from crosstally.plans.grammar import QuerySet
+from crosstally.sources import store
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,15 @@ class Aggregated:
     def encode(self, rows: DataFrame) -> DataFrame:
         return self.dictionaries.encode(rows, list(self.queries.features))
 
+    def save(self, path: str) -> None:
+        """Tables as Parquet, the rest as JSON; an older version at ``path`` is replaced."""
+        store.save_aggregate(path, self.table, self.queries, self.dictionaries, dict(self.law) if self.law else None)
+
+
+def load(spark: SparkSession, path: str) -> Aggregated:
+    table, queries, known, law = store.load_aggregate(spark, path)
+    return Aggregated(table, queries, known, law)
+
 
 def from_rows(
     rows: DataFrame, features: list[str], spec: str = "*&*", label: str = "label", others: Mapping[str, Column] | None = None, epsilon: float | None = None, delta: float | None = None,

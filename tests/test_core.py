@@ -272,7 +272,7 @@ def test_rate_buckets_against_a_plain_count(spark):
     assert {v: (r["rounded"], r["bucket"], r["id"]) for v, r in got.items()} == {v: (*p, ids[p]) for v, p in place.items()}
 
 
-def test_from_rows(spark, rows, small):
+def test_from_rows(spark, rows, small, tmp_path):
     want = cells(small[0])
     data = dataset.from_rows(rows, ["a", "b", "c"], others={"ids": F.col("id").cast("long")})
     assert {k: v[:2] for k, v in cells(data.table).items()} == want and data.law is None
@@ -284,6 +284,10 @@ def test_from_rows(spark, rows, small):
     noisy = dataset.from_rows(rows, ["a", "b", "c"], epsilon=5.0, delta=1e-5, clip=True, seed="t")
     assert noisy.law["law"] == "gauss" and noisy.table.count() == noisy.queries.total and noisy.table.agg(F.min("clicks")).first()[0] >= 0
     assert dataset.from_rows(rows.limit(0), ["a"]).table.count() == 0
+    noisy.save(f"{tmp_path}/noisy")
+    back = dataset.load(spark, f"{tmp_path}/noisy")
+    assert cells(back.table) == cells(noisy.table) and back.law == noisy.law and back.queries.names == noisy.queries.names
+    assert back.encode(rows).count() == 600
 
 
 def test_sixty_five_queries_by_grouping_sets(spark):
