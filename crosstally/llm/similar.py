@@ -179,7 +179,8 @@ def similar_links(texts: DataFrame, placed: DataFrame) -> DataFrame:
     them, which links such a group by as many comparisons as it has texts; then those of its largest node only meet
     the rest of the bucket.
     """
-    placed = stage(placed.select(F.explode("buckets").alias("bucket"), "t", "node").distinct(), "buckets")
+    each = lambda df: stage(df.select(F.explode("buckets").alias("bucket"), "t", "node").distinct(), "buckets")
+    rows, placed = placed, each(placed)
     crowded = stage(open_buckets(placed).filter(F.col("n") > CHUNK), "crowded")
     first = None
     if crowded.count():
@@ -189,7 +190,7 @@ def similar_links(texts: DataFrame, placed: DataFrame) -> DataFrame:
         members = placed.join(side, "bucket").join(sets, "t").withColumn("joint", F.col("t") != F.col("low"))
         first = stage(compare(members), "first-links")
         roots = bounded_broadcast(components(first).withColumnRenamed("node", "_node"), MAX_ROWS)
-        placed = stage(placed.join(roots, F.col("node") == F.col("_node"), "left").select("bucket", "t", F.coalesce("root", "node").alias("node")), "buckets")
+        placed = each(rows.join(roots, F.col("node") == F.col("_node"), "left").select("t", F.coalesce("root", "node").alias("node"), "buckets"))
     left = stage(open_buckets(placed), "open-buckets")
     sets = shingle_sets(texts, placed, left)
     members = placed.join(bounded_broadcast(left.select("bucket", "n"), MAX_ROWS), "bucket")
