@@ -43,7 +43,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def shingles(text: bytes) -> np.ndarray:
     """Hashes of all runs of WIDTH words, repeats too. A text of fewer words has one, all its words; without words none."""
     # Of bytes: A-Z and ASCII white space only.
-    h = np.concatenate([np.zeros(0, np.uint64), *[np.array([xxhash.xxh64_intdigest(w) for w in piece.lower().split()], np.uint64) for piece in byte_pieces(text)]])
+    worded = (piece.lower().split() for piece in byte_pieces(text))
+    h = np.concatenate([np.zeros(0, np.uint64), *[np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) for words in worded]])
     if not len(h):
         return h
     width = min(WIDTH, len(h))
