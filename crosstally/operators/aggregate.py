@@ -25,13 +25,19 @@ def _ids(queries: QuerySet, into: str) -> dict[str, Column]:
 
 
 def aggregate(encoded: DataFrame, queries: QuerySet, measures: Mapping[str, Column], into: str = "{}") -> DataFrame:
-    """Counts and sums of every cell of every query: each row is exploded to its cells and summed by (query, cell),
-    combined before the one exchange. The exchange carries at most (cells x tasks) rows, whatever the input."""
+    """Counts and sums of every cell of every query: each row is exploded to the numbers of its cells
+    and summed by them, combined before the one exchange. The exchange carries at most (cells x tasks) rows, whatever the input."""
     ids = _ids(queries, into)
-    cells = F.array(*[F.struct(F.lit(k).alias("q"), q.cell(ids).alias("cell")) for k, q in enumerate(queries.queries)])
-    taken = encoded.select(*[m.alias(f"__m_{n}") for n, m in measures.items()], F.explode(cells).alias("k"))
-    summed = taken.groupBy("k.q", "k.cell").agg(*[F.sum(f"__m_{n}").alias(n) for n in measures])
-    return summed.select(_name(queries), "cell", *measures)
+    params = F.array(*[F.lit(at).cast("long") + q.cell(ids) for q, at in zip(queries.queries, queries.offsets.values(), strict=True)])
+    taken = encoded.select(*[m.alias(f"__m_{n}") for n, m in measures.items()], F.explode(params).alias("param"))
+    return _placed(taken.groupBy("param").agg(*[F.sum(f"__m_{n}").alias(n) for n in measures]), queries, list(measures))
+
+
+def _placed(summed: DataFrame, queries: QuerySet, measures: list[str]) -> DataFrame:
+    """Sums by parameter as (query, cell, measures): a row per cell, after the exchange."""
+    edges = F.array(*[F.lit(o).cast("long") for o in queries.offsets.values()])
+    placed = summed.withColumn("q", F.size(F.filter(edges, lambda o: o <= F.col("param"))) - 1)
+    return placed.select(_name(queries), (F.col("param") - F.element_at(edges, F.col("q") + 1)).cast("int").alias("cell"), *measures)
 
 
 def _name(queries: QuerySet) -> Column:
@@ -73,9 +79,7 @@ def aggregate_dense(encoded: DataFrame, queries: QuerySet, measures: Mapping[str
 
     wide = encoded.select(*[m.cast("double").alias(n) for n, m in measures.items()], *[q.cell(ids).alias(f"__c{k}") for k, q in enumerate(queries.queries)])
     summed = wide.mapInArrow(work, "param long, " + ", ".join(f"`{n}` double" for n in names)).groupBy("param").agg(*[F.sum(n).alias(n) for n in names])
-    edges = F.array(*[F.lit(o).cast("long") for o in offsets])
-    placed = summed.withColumn("q", F.size(F.filter(edges, lambda o: o <= F.col("param"))) - 1)
-    return placed.select(_name(queries), (F.col("param") - F.element_at(edges, F.col("q") + 1)).cast("int").alias("cell"), *names)
+    return _placed(summed, queries, names)
 
 
 def merge(*tables: DataFrame) -> DataFrame:
